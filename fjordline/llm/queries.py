@@ -20,6 +20,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest", "longest_at", "longest_item")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fjordline.llm import ngram_join
+
+    return ngram_join.link(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fjordline.llm import sharding
 
@@ -37,6 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }

@@ -75,4 +75,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = (count, total)
     else:
         raise RuntimeError("components did not settle")
-    return now.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = now.df.select(F.col("b").alias("a"), "b").distinct()
+    return now.df.unionAll(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
