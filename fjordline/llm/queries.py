@@ -12,6 +12,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fjordline.llm import licenses
+
+    found = licenses.digest(licenses.scan(_read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fjordline.llm import decontam
 
@@ -26,6 +33,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_read(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fjordline.llm import quality_rules
+
+    return quality_rules.judge(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fjordline.llm import sharding
 
@@ -42,8 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scans": op2_license_scans,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
