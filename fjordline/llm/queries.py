@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fjordline.llm import line_dedup
+
+    return line_dedup.summary(_read(spark, sf_dir, "documents")).drop("gone")
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fjordline.llm import licenses
 
@@ -67,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_license_scans": op2_license_scans,
     "op3_toxicity": op3_toxicity,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
