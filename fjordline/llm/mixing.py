@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fjordline.llm.spark import Table, attach
+from fjordline.llm.spark import BROADCAST_ROWS, Table, attach
 
 BLOCK, FAN = 4096, 512
 WEIGHTS = (5, 2, 1)
@@ -157,7 +157,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     chosen = attach(chosen, sources.df, "s", rows=n_sources).withColumn("copies", (F.floor(ratio + 1e-12) + F.col("p")).cast("long"))
     chosen = chosen.select("s", "uid", "crc", "size", "source_size", "target", "copies")
     same = (rows.df["s"] == chosen["s"]) & rows.df["uid"].eqNullSafe(chosen["uid"]) & (rows.df["crc"] == chosen["crc"]) & (rows.df["size"] == chosen["size"])
-    small = chosen.count() <= 200_000
+    small = chosen.count() <= BROADCAST_ROWS
     out = rows.df.join(F.broadcast(chosen) if small else chosen, same)
     return out.select(rows.df["uid"].alias(id_col), rows.df["s"].alias("_fj_s"), rows.df["crc"].alias("_fj_crc"), rows.df["size"], "source_size", "target", "copies", (F.col("copies") * rows.df["size"]).alias("taken"))
 
@@ -169,5 +169,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     name = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("~"))
     same = docs[id_col].eqNullSafe(F.col("_fj_id")) & (name == F.col("_fj_t")) & (F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")) == F.col("_fj_sum"))
     rows = chosen.count()
-    taken = docs.join(F.broadcast(chosen) if rows <= 1_000_000 else chosen, same)
+    taken = docs.join(F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen, same)
     return taken.withColumn("_fj_n", F.explode(F.sequence(F.lit(1), F.col("_fj_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
