@@ -26,16 +26,16 @@ def buckets(rows: int) -> int:
     return max(1, -(-rows // 200_000), min(-(-rows // 2_000), 4_096))
 
 
-def interleave(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", source_col: str = "source", seed: int = 20_24, tie: list[str] | None = None) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", source_col: str = "source", seed: int = 2024, tie: list[str] | None = None) -> DataFrame:
     """docs with `shard` (0 .. shards - 1) and `slot` (place in the shard, gapless from 0)."""
     docs = docs.drop("shard", "slot", "_fj_s", "_fj_h", "_fj_b", "_fj_n", "_fj_r", "_fj_k", "_fj_off")
     total = docs.count()
     if not total:
         return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     n_buckets = buckets(total)
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     keyed = docs.withColumns({"_fj_s": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_fj_h": key})
-    keyed = keyed.withColumn("_fj_b", F.least(F.lit(n_buckets - 1), F.greatest(F.lit(0), F.floor((F.col("_fj_h") / F.lit(2.0**64) + 0.5) * n_buckets))).cast("long"))
+    keyed = keyed.withColumn("_fj_b", F.expr(f"(cast(conv(substr(_fj_h, 1, 8), 16, 10) as bigint) * {n_buckets}L) div 4294967296L"))
     in_source = Window.partitionBy("_fj_s")
     counts = keyed.groupBy("_fj_s", "_fj_b").agg(F.count("*").alias("_fj_c"))
     counts = counts.select("_fj_s", "_fj_b", F.sum("_fj_c").over(in_source).alias("_fj_n"), F.coalesce(F.sum("_fj_c").over(in_source.orderBy("_fj_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_fj_off"))
