@@ -179,17 +179,15 @@ def confidence_bands(means: np.ndarray, covariances: np.ndarray, level: float =
 
 
 def jacobian(fn: Callable[[np.ndarray], np.ndarray], at: np.ndarray) -> np.ndarray:
-    """By complex steps (exact to rounding) where fn is analytic and takes complex numbers, else by central differences."""
-    n = len(at)
+    """By complex steps (exact to rounding), unless fn refuses complex numbers or loses their imaginary part, as central differences show."""
+    n, unit = len(at), np.eye(len(at))
+    step = 1e-6 * np.maximum(1.0, np.abs(at))
+    central = np.stack([(np.atleast_1d(fn(at + step[k] * unit[k])) - np.atleast_1d(fn(at - step[k] * unit[k]))) / (2 * step[k]) for k in range(n)], -1)
     try:
-        cols = [np.imag(np.asarray(fn(at + 1e-30j * np.eye(n)[k]), complex)) / 1e-30 for k in range(n)]
-        out = np.stack([np.atleast_1d(c) for c in cols], -1)
-        if np.isfinite(out).all() and np.iscomplexobj(fn(at + 0j)):
-            return out
+        exact = np.stack([np.atleast_1d(np.imag(np.asarray(fn(at + 1e-30j * unit[k]), complex)) / 1e-30) for k in range(n)], -1)
     except (TypeError, ValueError):
-        pass
-    step = 1e-6 * np.maximum(1.0, np.abs(at))
-    return np.stack([(np.atleast_1d(fn(at + step[k] * np.eye(n)[k])) - np.atleast_1d(fn(at - step[k] * np.eye(n)[k]))) / (2 * step[k]) for k in range(n)], -1)
+        return central
+    return exact if np.allclose(exact, central, rtol=1e-4, atol=1e-6) else central
 
 
 def ekf_predict(state: GaussianState, model: NonlinearSSM) -> GaussianState:
