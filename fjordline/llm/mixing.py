@@ -11,7 +11,8 @@ reserve of a dozen that waits.  Those few land on the choice nearest to both tot
 The flight runs over blocks of about BLOCK units; what is left of a block flies
 on with what is left of FAN other blocks, level by level, and only the last level
 lands, so that no task holds a whole source.  Within a block large units fly
-first, and the reserve is spread over the sizes, so that the landing comes near.
+first, and the reserve is spread over the sizes, so that the landing comes near.  A
+source of one block lands at once and may exchange a few pairs of documents.
 
 Defined results: a null source is a source of its own, last in order; a null or
 empty text has size 0 and is taken 0 words; rows of equal id, source and text are
@@ -32,6 +33,7 @@ from fjordline.llm.spark import BROADCAST_ROWS, Table, attach
 BLOCK, FAN = 4096, 512
 WEIGHTS = (5, 2, 1)
 _STATE = "s string, b long, idx int, uid long, crc long, size long, m long, p double"
+_STATE_NAMES = ["s", "b", "idx", "uid", "crc", "size", "m", "p"]
 
 
 def word_count(column):
@@ -112,15 +114,39 @@ def land(x: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
+def repair(x: np.ndarray, was: np.ndarray, p: np.ndarray, tries: int = 16) -> np.ndarray:
+    """Exchanges taken and untaken units, one pair at a time, as long as the words come nearer to those expected.  A source
+    with one huge document may need it: no landing of small ones makes up for that."""
+    p = p.copy()
+    moves = (was > 0) & (was < 1)
+    for _ in range(tries):
+        off = float(p @ x - was @ x)
+        ins, outs = np.flatnonzero(moves & (p == 0)), np.flatnonzero(moves & (p == 1))
+        if abs(off) < 1 or not len(ins) or not len(outs):
+            break
+        ins = ins[np.argsort(x[ins], kind="stable")]
+        want = x[outs] - off  # what should come in for each that goes out
+        at = np.clip(np.searchsorted(x[ins], want), 1, len(ins) - 1) if len(ins) > 1 else np.zeros(len(outs), np.int64)
+        at = np.where((at > 0) & (np.abs(x[ins[at - 1]] - want) <= np.abs(x[ins[at]] - want)), at - 1, at)
+        left = np.abs(x[ins[at]] - want)
+        best = int(left.argmin())
+        if left[best] >= abs(off) - 0.5:
+            break
+        p[outs[best]], p[ins[at[best]]] = 0.0, 1.0
+    return p
+
+
 def _block(seed: int, last: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        alone = len(key) > 2 and key[2].as_py()  # the block is the whole source
         frame = table.to_pandas().sort_values(["size", "uid", "crc", "b", "idx"], ascending=[False, True, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
         x, c = (frame["size"] * frame["m"]).to_numpy(float), frame["m"].to_numpy(float)
-        p = fly(x, c, frame["p"].to_numpy(float), np.random.default_rng(zlib.crc32(f"{seed}|{key[0].as_py()}|{key[1].as_py()}|{last}".encode())))
-        frame["p"] = land(x, c, p) if last else p
+        was = frame["p"].to_numpy(float)
+        p = fly(x, c, was, np.random.default_rng(zlib.crc32(f"{seed}|{key[0].as_py()}|{key[1].as_py()}|{last}".encode())))
+        frame["p"] = repair(x, was, land(x, c, p)) if alone else land(x, c, p) if last else p
         if (frame["idx"] < 0).all():
             frame["idx"] = np.arange(len(frame), dtype=np.int32)
-        return pa.Table.from_pandas(frame, schema=table.schema, preserve_index=False)
+        return pa.Table.from_pandas(frame[_STATE_NAMES], schema=pa.schema([table.schema.field(n) for n in _STATE_NAMES]), preserve_index=False)
 
     return run
 
@@ -136,7 +162,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     drawn = attach(units, sources.df, "s", rows=n_sources).withColumn("p", ratio - F.floor(ratio + 1e-12))
     drawn = drawn.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")))
     drawn = drawn.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "uid", "crc"), F.ceil(F.col("units") / block)))
-    state = Table(drawn.select("s", "b", F.lit(-1).alias("idx"), F.col("uid").cast("long").alias("uid"), "crc", "size", "m", "p").groupBy("s", "b").applyInArrow(_block(seed, False), _STATE))
+    state = Table(drawn.select("s", "b", F.lit(-1).alias("idx"), F.col("uid").cast("long").alias("uid"), "crc", "size", "m", "p", (F.col("units") <= block).alias("alone")).groupBy("s", "b", "alone").applyInArrow(_block(seed, False), _STATE))
     most_blocks = (sources.df.agg(F.max(F.ceil(F.col("units") / block))).first()[0]) or 1
     settled, width, tables = [], 1, []
     flying = state.df.where("p > 0 and p < 1")
