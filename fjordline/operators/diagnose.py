@@ -11,17 +11,17 @@ from fjordline.operators.series import p_value
 def residuals(filtered: DataFrame, to: str = "resid", component: int = 0) -> DataFrame:
     """filter_series() rows with the standardized residual of one observed component; null where y is missing."""
     k = component + 1
-    z = F.element_at("innov", k) / F.sqrt(F.element_at(F.element_at("innov_cov", k), k))
+    z = F.try_divide(F.element_at("innov", k), F.sqrt(F.element_at(F.element_at("innov_cov", k), k)))
     return filtered.withColumn(to, F.when(~F.isnan(z), z))
 
 
 def acf(df: DataFrame, keys: list[str], ts: str, value: str, n_lags: int = 20) -> DataFrame:
-    """(keys, lag, acf, n): biased autocorrelations of the values that aren't null, all lags in one pass over one window."""
+    """(keys, lag, acf, n): biased autocorrelations of the values that aren't null, all lags in one pass over one window; null beyond lag 0 where nothing varies."""
     order = Window.partitionBy(*keys).orderBy(ts)
     rows = df.where(F.col(value).isNotNull()).withColumn("_c", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
     rows = rows.select(*keys, "_c", *[F.lag("_c", k).over(order).alias(f"_l{k}") for k in range(1, n_lags + 1)])
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("_v"), *[F.coalesce(F.sum(F.col("_c") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_s{k}") for k in range(1, n_lags + 1)])
-    pairs = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")), *[F.struct(F.lit(k).alias("lag"), (F.col(f"_s{k}") / F.col("_v")).alias("acf")) for k in range(1, n_lags + 1)])
+    pairs = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")), *[F.struct(F.lit(k).alias("lag"), F.try_divide(f"_s{k}", "_v").alias("acf")) for k in range(1, n_lags + 1)])
     return sums.select(*keys, "n", F.explode(pairs).alias("p")).select(*keys, "p.lag", "p.acf", "n")
 
 

@@ -257,9 +257,41 @@ def last_state(df: DataFrame, spec: SeriesSpec, model: StateSpaceModel, prior: G
     return _per_series(df, spec, fields, run, partitions)
 
 
+#: Beyond, unrolled products would make a plan of thousands of terms.
+EXPRESSION_STATES = 3
+
+
+def _forecast_kernel(states: DataFrame, model: StateSpaceModel, steps: int) -> DataFrame:
+    extra = [("h", T.IntegerType()), ("state_mean", VECTOR), ("state_cov", MATRIX), ("obs_mean", VECTOR), ("obs_cov", MATRIX)]
+    schema = T.StructType([*states.schema.fields, *(T.StructField(n, k) for n, k in extra)])
+    names = states.columns
+    maps = kernels.forecast_maps(model, steps)
+    power, noise = np.stack([g for g, _ in maps]), np.stack([s for _, s in maps])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = max(1, STACK_ROWS // (steps * model.state_dim))
+            for lo in range(0, batch.num_rows, most):
+                part = batch.slice(lo, most)
+                size = part.num_rows
+                mean = np.array(part.column(names.index("mean")).to_pylist(), float)
+                cov = np.array(part.column(names.index("cov")).to_pylist(), float)
+                ahead = np.einsum("hij,sj->shi", power, mean)
+                spread = power[None] @ cov[:, None] @ np.swapaxes(power, -1, -2)[None] + noise[None]
+                seen, around = ahead @ model.F.T, model.F @ spread @ model.F.T + model.V
+                rows = pa.array(np.repeat(np.arange(size), steps))
+                flat = lambda v: v.reshape(size * steps, *v.shape[2:])
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns), pa.array(np.tile(np.arange(1, steps + 1, dtype=np.int32), size)), _nested(flat(ahead), 1), _nested(flat(spread), 2), _nested(flat(seen), 1), _nested(flat(around), 2)], names=schema.names)
+
+    return states.mapInArrow(go, schema)
+
+
 def forecast_states(states: DataFrame, model: StateSpaceModel, steps: int) -> DataFrame:
     """Rows of states (with columns mean, cov) times h = 1 .. steps: state_mean, state_cov, obs_mean, obs_cov.  The powers of G and the
-    gathered noise depend on the model alone: a table of `steps` rows, broadcast; the algebra is expressions."""
+    gathered noise depend on the model alone.  Up to EXPRESSION_STATES states the algebra is expressions over a broadcast table of
+    `steps` rows; larger ones are multiplied in NumPy, batch by batch."""
+    if model.state_dim > EXPRESSION_STATES:
+        return _forecast_kernel(states, model, steps)
     maps = kernels.forecast_maps(model, steps)
     n, m = model.state_dim, model.obs_dim
     spark = states.sparkSession

@@ -43,7 +43,7 @@ def step_fields(model: StateSpaceModel, y: str, s: str = "s", u: str | None = No
             r[i, j] = _sum(terms)[:-1] + f" + {_number(float(w[i, j]))})"
     q = lambda i, j: r[min(i, j), max(i, j)]
     cross = [_sum([(f[k], q(i, k)) for k in range(n)]) for i in range(n)]
-    spread = "(" + _sum([(f[i], cross[i]) for i in range(n)]) + f" + {_number(v)})"
+    spread = "nullif(" + _sum([(f[i], cross[i]) for i in range(n)]) + f" + {_number(v)}, 0D)"  # null, not an error, where it is singular
     error = f"({y} - {_sum([(f[i], a[i]) for i in range(n)])})"
     gone = f"({y} is null or isnan({y}))"
     out = {f"m{i}": f"if({gone}, {a[i]}, {a[i]} + {cross[i]} / {spread} * {error})" for i in range(n)}
@@ -93,7 +93,7 @@ def level_rows(df: DataFrame, keys: list[str], model: StateSpaceModel, ts: str =
         return rows.select(*keys, F.explode("out").alias("o")).select(*keys, "o.*")
     kind = _LEVEL_ROW[:-2] + ",s:double,p:double>>"
     pick = lambda o, s, p: _struct({k: f"{o}.{k}" for k in ("t", "ts", "y", "a", "r", "m", "c", "ll")} | {"s": s, "p": p})
-    gain = f"(o.c * {_number(g)} / x.r)"
+    gain = f"(o.c * {_number(g)} / nullif(x.r, 0D))"
     body = _struct({"a": "o.a", "r": "o.r", "s": f"o.m + {gain} * (x.s - x.a)", "p": f"o.c + {gain} * {gain} * (x.p - x.r)", "out": f"concat(x.out, array({pick('o', f'o.m + {gain} * (x.s - x.a)', f'o.c + {gain} * {gain} * (x.p - x.r)')}))"})
     last = "element_at(out, -1)"
     seed = _struct({"a": f"{last}.a", "r": f"{last}.r", "s": f"{last}.m", "p": f"{last}.c", "out": f"cast(array({pick(last, f'{last}.m', f'{last}.c')}) as {kind})"})
