@@ -126,8 +126,60 @@ p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2.0::DOUBLE * n), s,
 q AS (SELECT *, ((p * 16) // total)::INTEGER shard FROM p)
 SELECT doc_id, size, text_crc32, 'rows' law, shard, p - (shard * total + 15) // 16 slot, NULL::INTEGER grown_shard, source FROM q JOIN crc USING (doc_id)"""
 
+_LINES = r"""
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) a FROM documents WHERE text IS NOT NULL),
+l AS MATERIALIZED (SELECT doc_id, unnest(range(len(a))) n, unnest(a) l FROM a),
+full_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id NULLS FIRST, n) copy FROM l WHERE regexp_matches(l, '[^ \t\r\x0B\x0C]')),
+f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, n) rn FROM full_ WHERE copy = 1 AND length(l) >= 10),
+cut AS MATERIALIZED (SELECT rn, i, length(l) size, hash(l[1 : i] || l[i + 2 :]) k FROM (SELECT *, unnest(range(length(l))) i FROM f)),
+same AS (SELECT rn, min(rn) OVER (PARTITION BY size, i, k) w FROM cut),
+longer AS (SELECT cut.rn a, f.rn b FROM cut JOIN f ON cut.k = hash(f.l) AND cut.size = length(f.l) + 1),
+near AS (SELECT DISTINCT rn FROM (SELECT rn FROM same WHERE w < rn UNION ALL SELECT greatest(a, b) FROM longer)),
+gone AS (SELECT full_.doc_id, count_if(full_.copy > 1) n_exact, count_if(near.rn IS NOT NULL) n_near FROM full_ LEFT JOIN f ON full_.doc_id = f.doc_id AND full_.n = f.n LEFT JOIN near ON near.rn = f.rn GROUP BY 1),
+total AS (SELECT doc_id, len(a) n_lines FROM a)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT n_lines, coalesce(n_exact, 0)::BIGINT n_exact, coalesce(n_near, 0)::BIGINT n_near, (coalesce(n_lines, 0) - coalesce(n_exact, 0) - coalesce(n_near, 0))::BIGINT n_kept
+FROM documents d LEFT JOIN total USING (doc_id) LEFT JOIN gone USING (doc_id)"""
+
+
+def _licenses_sql() -> str:
+    """The templates as regular expressions over the words, each with a space before it."""
+    import re
+
+    from fjordline.llm.licenses import BASE, NOTICES
+
+    def pattern(markup: str) -> tuple[str, int]:
+        out, fixed = "", 0
+        for mark in re.findall(r"\[\[|\]\]|\{\{\d+-\d+\}\}|[^\s\[\]{}]+", markup):
+            if mark == "[[":
+                out += "(?:"
+            elif mark == "]]":
+                out += ")?"
+            elif mark.startswith("{{"):
+                out += "(?: [^ ]+){%s}" % mark[2:-2].replace("-", ",")
+            else:
+                out, fixed = out + " " + mark, fixed + 1
+        return out + " ", fixed
+
+    labels, scores = [], []
+    for t in BASE + NOTICES:
+        regex, fixed = pattern(t.markup)
+        labels.append(f"CASE WHEN regexp_matches(t, '{regex}') THEN '{t.label}' END")
+        scores.append(f"least(1.0, coalesce(list_max(list_transform(regexp_extract_all(t, '{regex}'), lambda m: length(m) - length(replace(m, ' ', '')) - 1)), 0) / {fixed}::DOUBLE)" + (" / 2" if t.base else ""))
+    starts = []
+    for t in BASE:
+        words = t.markup.split()
+        starts.append("list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1)) + ")")
+    own = "array_to_string(list_sort(list_distinct(list_filter([{}], lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format("text")} w FROM documents), t AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' t, list_concat({", ".join(starts)}) s FROM d)
+SELECT doc_id, len(w) n_words, len(s)::BIGINT n_base, list_min(s) first_word, list_max(s) last_word, {own.format(", ".join(labels[: len(BASE)]))} base_labels, {own.format(", ".join(labels))} labels,
+  greatest({", ".join(scores)})::DOUBLE score FROM t"""
+
+
 #: The operators without SQL are learnt, drawn or automata: tests hold those against plain versions.
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": _LINES,
+    "op2_license_scans": _licenses_sql(),
     "op4_benchmark_decontamination": _DECONTAMINATION,
     "op5_ngram_jaccard_join": _JOIN,
     "op9_sharding": _SHARDING,
