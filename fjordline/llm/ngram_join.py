@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import Table, attach, components
+from fjordline.llm.spark import BROADCAST_ROWS, Table, attach, components
 
 N, NUM, DEN = 3, 90, 100
 GROUP_SHINGLES = 1_500_000
@@ -193,12 +193,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     # Equal sets first: each class of them goes by its smallest id.
     classes = filled.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = Table(classes)
-    segs = attach(filled.select("id", "keys"), reps.df.select(F.col("rep").alias("id")).distinct(), "id", limit=2_000_000).select("id", F.explode("keys").alias("key"))
-    # Rows of a key are chained in order of id; whatever shares a key is connected, without a row per pair.
-    pairs = segs.selectExpr("key", "id", "lag(id) over (partition by key order by id) as before").where("before is not null and before <> id")
-    chains = Table(pairs.select(F.col("id").alias("a"), F.col("before").alias("b")).distinct())
-    groups = Table(components(chains.df))
-    chains.drop()
+    segs = attach(filled.select("id", "keys"), reps.df.select(F.col("rep").alias("id")).distinct(), "id").select("id", F.explode("keys").alias("key"))
+    # Whatever shares a key is connected by way of the key's least id, without a row per pair.
+    pairs = segs.selectExpr("id as a", "min(id) over (partition by key) as b").where("a <> b")
+    groups = Table(components(pairs))
     members = groups.df.join(filled.select(F.col("id").alias("node"), "n").dropDuplicates(["node"]), "node")
     members = Table(members)
     totals = members.df.groupBy("component").agg(F.ceil(F.sum("n") / group_shingles).alias("cut"))
@@ -211,7 +209,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     n_dealt = dealt.df.count()
     texts = attach(narrow.where("id is not null"), dealt.df, "id", rows=n_dealt)
     found = Table(texts.select("component", "i", "j", "id", "text").groupBy("component", "i", "j").applyInArrow(_verify(n, num, den), "a long, b long"))
-    linked = Table(components(found.df))
+    # Forests of groups that are one block are final; those of several blocks are joined.
+    several = dealt.df.where("i <> j").limit(1).count() > 0
+    linked = Table(components(found.df) if several else found.df.select(F.col("a").alias("node"), F.col("b").alias("component")))
     labels = reps.df.select("n", "one", "two", "rep").join(linked.df.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component_id"))
     out = attach(sets.df.select("id", "n", "one", "two"), labels, ["n", "one", "two"], "left", rows=reps.df.count())
     for table in (groups, members, dealt, found):
@@ -223,6 +223,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs without the rows whose id isn't the smallest of their component; of rows repeated with one id, one stays.  Columns as they are."""
     found = link(docs, id_col, text_col, **options)
     lost = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(F.broadcast(lost), id_col, "left_anti") if lost.count() <= 1_000_000 else docs.join(lost, id_col, "left_anti")
+    kept = docs.join(F.broadcast(lost), id_col, "left_anti") if lost.count() <= BROADCAST_ROWS else docs.join(lost, id_col, "left_anti")
     return kept.select(*docs.columns)
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown that it has no more rows; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,19 +53,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node, component its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which need no row per pair of
-    a component and a logarithmic number of rounds in practice; each round is a written table.
+    a component and a logarithmic number of rounds in practice.  A round takes two exchanges; it is a written table.
     """
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    now = Table(both)
+    around = Window.partitionBy("a")
+    now = Table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(rounds):
-        around = now.df.unionAll(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        both = now.df.unionAll(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a is linked to the least node around a.
-        large = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: every smaller neighbour of a, and a itself, is linked to the least of them.
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        large = both.withColumn("m", F.least("a", F.min("b").over(around))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Small star: every smaller neighbour of a, and a itself, is linked to the least of them; equal edges go.
+        small = large.withColumns({"m": F.min("b").over(around), "before": F.lag("b").over(around.orderBy("b"))}).where("before is null or before <> b")
+        small = small.select("m", F.explode(F.when(F.col("before").isNull(), F.array("a", "b")).otherwise(F.array("b"))).alias("a")).where("a <> m").select("a", F.col("m").alias("b"))
         after = Table(small)
         count, total = after.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now.drop()
@@ -75,5 +74,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = (count, total)
     else:
         raise RuntimeError("components did not settle")
-    roots = now.df.select(F.col("b").alias("a"), "b").distinct()
-    return now.df.unionAll(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    settled = now.df.distinct()
+    roots = settled.select(F.col("b").alias("a"), "b").distinct()
+    return settled.unionAll(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
