@@ -272,7 +272,7 @@ def measure(chunk: tx.Chunk, voc: Vocabulary, net: Network) -> tuple[np.ndarray,
     number = voc.numbers(w.hash)
     ctx = contexts(number, w.first, w.row)
     lp = np.concatenate([np.zeros(0, np.float32), *(net.log_prob(ctx[a : a + STEP], number[a : a + STEP]) for a in range(0, len(number), STEP))])
-    return np.diff(w.first), np.bincount(w.row, weights=lp.astype(float), minlength=len(w.first) - 1)
+    return np.diff(w.first), np.bincount(w.row, weights=lp.astype(float), minlength=len(w.first) - 1).astype(float)
 
 
 def _score(shared):

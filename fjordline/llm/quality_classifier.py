@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stats = np.array(table.column("stats").combine_chunks().flatten() if table.num_rows else [], np.float64).reshape(-1, len(STATS))
     y = table.column("y").to_numpy().astype(float)
     if not len(y):
-        return Machine(np.zeros((len(STATS), BINS - 1)))
+        nothing = Machine(np.zeros((len(STATS), BINS - 1)))
+        nothing.v[:] = 0
+        return nothing
     # The order in which rows arrive must not matter.
     words = table.column("words").combine_chunks()
     order = np.lexsort((*stats.T, y))

@@ -198,8 +198,10 @@ class Hits:
         words = np.flatnonzero(found[which]) if len(which) else np.zeros(0, np.int64)
         out = [(int(w.row[i]), int(i), t, e) for i in words.tolist() for t, e in matches[int(which[i])]]
         row, word, term, edits = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-        place = words
-        near = np.searchsorted(place, word + WINDOW, "right") - np.searchsorted(place, word - WINDOW) - 1
+        # Other hit words within the window; texts are set apart so that it ends with its text.
+        apart = 2 * WINDOW * w.row
+        place, own = words + apart[words], word + apart[word]
+        near = np.searchsorted(place, own + WINDOW, "right") - np.searchsorted(place, own - WINDOW) - 1
         # Quoted: a quotation mark within the window on both sides, in the same text.
         marks = np.concatenate([[0], np.cumsum(_QUOTES[chunk.raw])])
         lo = np.maximum(word - WINDOW, w.first[row]) if len(word) else word
@@ -280,6 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon = prune([(r["term"], r["toxic"], r["clean"]) for r in strong.collect()])
     table = rows.mapInArrow(_features(lexicon), "y double, i array<int>, x array<double>").toArrow()
     y = table.column("y").to_numpy()
+    if not len(y):
+        return Model([], np.zeros(TOTALS), -30.0)
     size = np.array([len(v) for v in table.column("i").to_pylist()], np.int64)
     column = np.array(table.column("i").combine_chunks().flatten(), np.int64) if table.num_rows else np.zeros(0, np.int64)
     value = np.array(table.column("x").combine_chunks().flatten(), float) if table.num_rows else np.zeros(0)
