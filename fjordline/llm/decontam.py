@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fjordline.llm import text as tx
+from fjordline.llm.spark import small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -210,6 +211,7 @@ def _union(spans: pd.Series) -> pd.Series:
 
 def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(*dict.fromkeys([*keep, text_col]))
     schema = T.StructType([*(docs.schema[k] for k in keep), *T._parse_datatype_string(_SPANS).fields])
     parts = [narrow.mapInArrow(_scan(spark.sparkContext.broadcast(block), text_col, keep), schema) for block in item_blocks(benchmark, item_col, item_text_col, block_words, window)]
@@ -237,6 +239,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; columns as they are."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs
     for block in item_blocks(benchmark, item_col, item_text_col, block_words, window):
         out = out.mapInArrow(_drop(spark.sparkContext.broadcast(block), text_col), docs.schema)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fjordline.llm import text as tx
+from fjordline.llm.spark import small_batches
 
 
 class Template(NamedTuple):
@@ -189,6 +190,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     for t in templates:
         if len(_MARK.findall(t.markup)) + sum(int(m[2]) for m in _MARK.finditer(t.markup) if m[2]) > LONGEST:
             raise ValueError(f"{t.name}: longer than {LONGEST} words")
+    small_batches(docs.sparkSession)
     narrow = docs.select(*dict.fromkeys([id_col, text_col]))
     schema = T.StructType([narrow.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("matches", T._parse_datatype_string(_MATCHES))])
     return narrow.mapInArrow(_scan(templates, text_col, [id_col], _ARROW), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import Table, attach
+from fjordline.llm.spark import Table, attach, small_batches
 
 LEAST = 10
 _SPACE = np.array([9, 10, 11, 12, 13, 32])
@@ -148,6 +148,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 
 def _decide(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     id_type = docs.schema[id_col].dataType.simpleString()
     lines = Table(narrow.mapInArrow(_lines(least), f"id {id_type}, line long, blank boolean, h long, k0 long, k1 long, k2 long, k3 long"))

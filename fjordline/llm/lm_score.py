@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
+from fjordline.llm.spark import small_batches
 
 SIDE = 64  # classes, and words in a class
 VOCABULARY = SIDE * SIDE
@@ -245,6 +246,7 @@ def _average(table: pa.Table) -> pa.Table:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, docs_per_task: int = DOCS_PER_TASK, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     voc, counts = vocabulary(docs, text_col)
     shared = sc.broadcast(voc)
     key = F.xxhash64(F.lit(1), id_col)
@@ -289,6 +291,7 @@ def _score(shared):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, Network] | None = None, **options) -> DataFrame:
     """Per row of docs: the id, n_words, log_prob (summed over its words), mean_log_prob, pseudo_perplexity.  Without a model, one is fitted on docs."""
+    small_batches(docs.sparkSession)
     voc, net = model or fit(docs, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast((voc, net.flat()))
     rows = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_score(shared), f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import BROADCAST_ROWS, Table, attach, components
+from fjordline.llm.spark import BROADCAST_ROWS, Table, attach, components, small_batches
 
 N, NUM, DEN = 3, 90, 100
 GROUP_SHINGLES = 1_500_000
@@ -187,6 +187,7 @@ def _verify(n: int, num: int, den: int):
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """One row per row of docs: the id (long), n_shingles, component_id (the smallest id that links lead to)."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = Table(narrow.mapInArrow(_sets(n, num, den), "id long, n long, one long, two long, keys array<long>"))
     filled = sets.df.where("n > 0 and id is not null")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import held_out
+from fjordline.llm.spark import held_out, small_batches
 
 SAMPLE = 8_000
 WORDS = 1 << 16
@@ -152,6 +152,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample: int = SAMPLE) -> Machine:
     """A machine fitted on the driver; what is gathered is bounded by `sample` rows."""
+    small_batches(docs.sparkSession)
     picked = sample_labels(labels, label_col, id_col, sample)  # at most `sample` rows: safe to broadcast
     chars = F.coalesce(F.col(chars_col).cast("double"), F.lit(-1.0)) if chars_col else F.lit(-1.0)
     rows = docs.select(F.col(id_col).alias("_fj_id"), F.col(text_col).alias("text"), chars.alias("chars")).join(F.broadcast(picked), "_fj_id")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import held_out
+from fjordline.llm.spark import held_out, small_batches
 
 SAMPLE = 6_000  # rows of each label, at most
 TERMS = 2_000  # of the lexicon, at most
@@ -174,7 +174,7 @@ def prune(rows: list[tuple[str, int, int]]) -> list[str]:
 class Hits:
     """Finds terms in chunks of texts; remembers words it has seen, up to `most`."""
 
-    def __init__(self, terms: list[str], most: int = 400_000) -> None:
+    def __init__(self, terms: list[str], most: int = 100_000) -> None:
         self.lexicon, self.memo, self.most = Lexicon(terms), {}, most
 
     def scan(self, chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,6 +266,7 @@ def _features(terms: list[str]):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Model:
     """What the driver gathers is bounded by 2 x `sample` rows and `terms` terms."""
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).alias("_fj_id")).agg(F.max(label_col).cast("double").alias("_fj_y"))
     by_hash = (F.xxhash64("_fj_id"), F.col("_fj_id"))
