@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the temporaries of one step (a single longer text is one step).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _ALL = np.arange(256)
 #: Members of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` among lower-cased bytes.
