@@ -308,6 +308,19 @@ def test_sharding_query(spark, sf_dir):
         assert abs(n - share[source] / 16) <= 2
 
 
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.33])
+def test_quality_band_rejects_planted_junk(spark, share):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    say = lambda own, n: " ".join(rng.choice(own) for _ in range(n))
+    good = [say(words, rng.randint(60, 120)) for _ in range(134)]
+    junk = [say(words[: 2 + k % 4], rng.randint(60, 120)) for k in range(round(len(good) * share / (1 - share)))]
+    docs = h.awkward(spark, [(k, t, "en", None) for k, t in enumerate(good + junk)] + [(1000 + k, t, "de", None) for k, t in enumerate(good)])
+    inside = {r.doc_id: r.in_band for r in quality_rules.judge(docs).collect()}
+    assert not any(inside[k] for k in range(len(good), len(good) + len(junk)))
+    assert sum(inside[k] for k in range(len(good))) >= 0.98 * len(good) and sum(inside[1000 + k] for k in range(len(good))) >= 0.98 * len(good)
+
+
 def test_sharding_is_the_sort_by_fractional_rank(spark, monkeypatch):
     rows = [(k, f"t{k}", None, ["a", "b", None][k % 7 % 3]) for k in range(500)]
     df = h.awkward(spark, rows)
