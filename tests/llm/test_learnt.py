@@ -287,3 +287,21 @@ def test_pipeline_awkward(spark, sf_dir, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").where("false").write.parquet(f"{base}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{base}/none").count() == 0
+def test_pipeline_drops_copies_by_five_words_and_similarity_0_8(spark, sf_dir):
+    words = [f"w{k}" for k in range(104)]
+    edited = ["new" if k in (30, 70) else w for k, w in enumerate(words)]  # 90 of 110 shingles shared by five words, 96 of 108 by three
+    more = [*words, *(f"x{k}" for k in range(20))]  # 100 of 120 by five words, 102 of 122 by three
+    far = [*words[:60], *(f"y{k}" for k in range(44))]
+    docs = h.awkward(spark, [(k, " ".join(w), "en", "a") for k, w in enumerate([words, edited, more, far])] + [(0, " ".join(words), "en", "a"), (None, " ".join(words), "en", "a")])
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    assert sorted(r.doc_id for r in stage(spark, docs, sf_dir).collect()) == [0, 3]
+
+
+def test_pipeline_stage_is_the_join_by_five_words_and_similarity_0_8(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(h, "shingles", lambda t, plain=h.shingles: plain(t, 5))
+    want = sorted(i for i, (_, c) in h.components([(r.doc_id, r.text) for r in docs.collect()], 80, 100).items() if c == i)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    assert sorted(r.doc_id for r in stage(spark, docs, sf_dir).collect()) == want
+
+
