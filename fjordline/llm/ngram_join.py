@@ -221,9 +221,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose id isn't the smallest of their component; of rows repeated with one id, one stays.  Columns as they are."""
+    """docs without the rows whose id isn't the smallest of their component; rows repeated with an id that stays all stay (keep_one_row leaves one).  Columns as they are."""
     found = link(docs, id_col, text_col, **options)
     lost = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
     kept = docs.join(F.broadcast(lost), id_col, "left_anti") if lost.count() <= BROADCAST_ROWS else docs.join(lost, id_col, "left_anti")
     return kept.select(*docs.columns)
 
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of docs, that of the smallest id (a null id comes last).  Rows are linked each by
+    itself, whatever their ids; rows without words go only for one of the same id.  Columns as they are."""
+    rows = Table(docs.withColumn("_fj_row", F.monotonically_increasing_id())).df  # written, so that the numbers hold
+    ids = rows.select("_fj_row", F.col(id_col).alias("_fj_id"))
+    placed = Table(link(rows, "_fj_row", text_col, **options).join(ids, "_fj_row"))
+    wordless = F.when(F.col("n_shingles") == 0, F.col("_fj_id"))
+    first = placed.df.groupBy(F.when(wordless.isNull(), F.col("component_id")), wordless).agg(F.min(F.struct(F.col("_fj_id").isNull(), "_fj_id", "_fj_row"))["_fj_row"].alias("_fj_row"))
+    lost = Table(placed.df.select("_fj_row").join(first.select("_fj_row"), "_fj_row", "left_anti"))
+    return rows.join(F.broadcast(lost.df) if lost.df.count() <= BROADCAST_ROWS else lost.df, "_fj_row", "left_anti").select(*docs.columns)

@@ -242,6 +242,15 @@ def test_quality_rules_query(spark, sf_dir):
 def test_kneser_ney_sums_to_one_and_matches_a_plain_version(spark):
     texts = [h.PROSE, h.PROSE[:40], "abcabcabd", "x"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
+def test_keep_one_row_leaves_one_of_each_group(spark):
+    rows = [(5, h.PROSE), (5, h.PROSE), (5, "one two three"), (None, h.PROSE), (7, "one two three"), (None, "three four"), (None, "three four"), (8, None), (8, ""), (9, ""), (None, None), (None, ""), (6, h.PROSE + " today")]
+    df = h.awkward(spark, [(*r, None, "a") for r in rows])
+    kept = ngram_join.keep_one_row(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter({(5, h.PROSE): 1, (5, "one two three"): 1, (None, "three four"): 1, (8, ""): 1, (9, ""): 1, (None, ""): 2})
+    assert ngram_join.keep_one_row(h.empty(spark)).count() == 0
+
+
     counts = Counter()
     for t in texts:
         s = quality_rules._SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
