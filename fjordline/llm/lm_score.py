@@ -34,7 +34,7 @@ VOCABULARY = SIDE * SIDE
 OWN = VOCABULARY // 2  # numbers 1 .. OWN - 1 are frequent words; 0 is outside the text
 DIM = 16
 REACH = 2
-EVERY = 16
+EVERY = 1
 DOCS_PER_TASK = 4_000
 ROUNDS = 2
 STEP = 1 << 16

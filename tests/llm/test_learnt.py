@@ -197,6 +197,14 @@ def test_lm_awkward(spark):
     assert lm_score.score(h.empty(spark)).count() == 0
 
 
+def test_lm_trains_on_every_document(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score, "_numbers", lambda shared, plain=lm_score._numbers: (seen.append(1), plain(shared))[1])
+    lm_score.fit(h.awkward(spark, h.AWKWARD[:1]))  # a table of one document, whatever its hash
+    lm_score.fit(h.awkward(spark, h.AWKWARD[-1:]))
+    assert len(seen) == 2 and lm_score.EVERY == 1
+
+
 # 8
 
 
