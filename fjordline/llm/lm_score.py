@@ -3,12 +3,14 @@
 Every word of a text is predicted from REACH words on either side, itself masked:
     h = tanh(b + sum_p E[context_p] * P_p),   p(word) = p(class | h) p(word | class, h),
 two softmaxes over 64, as a word is one of 64 classes of 64.  The most frequent words
-of the corpus have numbers of their own, all others share numbers by hash.  A text's
-score is the sum of its words' conditional log-probabilities.
-
-The vocabulary is counted by Spark over all texts.  The network is trained in numpy
-in the tasks: a fixed share of the documents (one in `every`, by a hash of the id) is dealt
-to as many tasks as its number asks for, each takes AdaGrad steps from the same start, and the networks are
+of the corpus have numbers of their own, all others share numbers by hash; a shared number's
+probability is split among its words by their counts, so that every word has a
+probability of its own (a word that wasn't counted has one as if counted once more).  A
+text's score is the sum of its words' conditional log-probabilities.
+
+The vocabulary is counted by Spark over all texts; it grows with the corpus and stays a
+table.  The network is trained in numpy in the tasks: the documents (one in `every`, by a
+hash of the id) are dealt to as many tasks as their number asks for, each takes AdaGrad steps from the same start, and the networks are
 averaged, weighed by words, twice over; so the training data grow with the corpus,
 while a network has a fixed size.
 
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import small_batches
+from fjordline.llm.spark import Table, attach, small_batches
 
 SIDE = 64  # classes, and words in a class
 VOCABULARY = SIDE * SIDE
@@ -150,8 +152,9 @@ def contexts(number: np.ndarray, first: np.ndarray, row: np.ndarray) -> np.ndarr
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray) -> None:
-        """hashes: of the frequent words, most frequent first."""
+    def __init__(self, hashes: np.ndarray, shares: str | None = None, totals: np.ndarray | None = None) -> None:
+        """hashes: of the frequent words, most frequent first; shares: path of the table (h, n) of all others; totals: their counts by number from OWN on."""
+        self.shares, self.totals = shares, totals
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
 
@@ -187,12 +190,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(*merge())
 
 
+def _bucket(h: str) -> Column:
+    """The shared number of a hash, from 0: the remainder by a power of two, whatever the sign."""
+    return F.col(h).bitwiseAND(F.lit(VOCABULARY - OWN - 1)).cast("int")
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.ndarray]:
     """The OWN - 1 most frequent words of all texts, and how often each number occurs."""
-    counts = docs.select(text_col).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = Table(docs.select(text_col).mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))).df
     top = counts.orderBy(F.desc("n"), "h").limit(OWN - 1)
     rows = top.collect()
-    voc = Vocabulary(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    known = docs.sparkSession.createDataFrame([(r["h"],) for r in rows], "h long")  # OWN - 1 rows at most
+    others = Table(counts.join(F.broadcast(known), "h", "left_anti"))
+    totals = np.zeros(VOCABULARY - OWN)
+    for r in others.df.groupBy(_bucket("h").alias("b")).agg(F.sum("n").alias("n")).collect():
+        totals[r["b"]] = r["n"]
+    voc = Vocabulary(np.array([r["h"] for r in rows], np.int64).view(np.uint64), others.path, totals)
     total = np.zeros(VOCABULARY)
     total[1 : len(rows) + 1] = [r["n"] for r in rows]
     # What the others share is spread evenly: the start needs no more.
@@ -277,6 +290,18 @@ def measure(chunk: tx.Chunk, voc: Vocabulary, net: Network) -> tuple[np.ndarray,
     return np.diff(w.first), np.bincount(w.row, weights=lp.astype(float), minlength=len(w.first) - 1).astype(float)
 
 
+def _others(chunk: tx.Chunk, voc: Vocabulary) -> pa.Array:
+    """Each row's words that share numbers: (h, times)."""
+    w = tx.words(chunk)
+    at = np.flatnonzero(voc.numbers(w.hash) >= OWN)
+    order = at[np.lexsort((w.hash[at], w.row[at]))]
+    row, hashes = w.row[order], w.hash[order]
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])) if len(order) else np.zeros(0, np.int64)
+    times = np.diff(np.append(head, len(order)))
+    ends = np.searchsorted(row[head], np.arange(len(w.first)))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(hashes[head].view(np.int64)), pa.array(times.astype(np.int64))], names=["h", "times"]))
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, flat = shared.value
@@ -284,16 +309,37 @@ def _score(shared):
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
                 n, total = measure(chunk, voc, net)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(n.astype(np.int64)), pa.array(total)], names=["id", "n_words", "log_prob"])
+                own = [batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(n.astype(np.int64)), pa.array(total)]
+                names = ["id", "n_words", "log_prob"]
+                if voc.shares is not None:
+                    own, names = [*own, _others(chunk, voc)], [*names, "others"]
+                yield pa.RecordBatch.from_arrays(own, names=names)
 
     return run
 
 
+def _split(scored: DataFrame, voc: Vocabulary) -> DataFrame:
+    """scored with the words' shares of their numbers: n of a number's total + 1, the one being what wasn't counted."""
+    spark = scored.sparkSession
+    rows = Table(scored.withColumn("row", F.monotonically_increasing_id())).df
+    totals = spark.createDataFrame([(k, float(n)) for k, n in enumerate(voc.totals)], "b int, total double")  # one row per shared number
+    words = rows.select("row", F.explode("others").alias("o")).select("row", "o.h", "o.times")
+    counted = attach(words, spark.read.schema("h long, n long").parquet(voc.shares), "h", "left").withColumn("b", _bucket("h")).join(F.broadcast(totals), "b")
+    share = F.col("times") * (F.log(F.coalesce("n", F.lit(1))) - F.log(F.col("total") + 1))
+    sums = counted.groupBy("row").agg(F.sum(share).alias("share"))
+    return rows.drop("others").join(sums, "row", "left").select("id", "n_words", (F.col("log_prob") + F.coalesce("share", F.lit(0.0))).alias("log_prob"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, Network] | None = None, **options) -> DataFrame:
     """Per row of docs: the id, n_words, log_prob (summed over its words), mean_log_prob, pseudo_perplexity.  Without a model, one is fitted on docs."""
     small_batches(docs.sparkSession)
     voc, net = model or fit(docs, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast((voc, net.flat()))
-    rows = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_score(shared), f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double")
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double"
+    narrow = docs.select(F.col(id_col).alias("id"), text_col)
+    if voc.shares is None:
+        rows = narrow.mapInArrow(_score(shared), kinds)
+    else:
+        rows = _split(narrow.mapInArrow(_score(shared), f"{kinds}, others array<struct<h: long, times: long>>"), voc)
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return rows.select(F.col("id").alias(id_col), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))

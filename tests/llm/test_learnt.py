@@ -205,6 +205,32 @@ def test_lm_trains_on_every_document(spark, monkeypatch):
     assert len(seen) == 2 and lm_score.EVERY == 1
 
 
+def test_lm_words_have_probabilities_of_their_own(spark, monkeypatch):
+    words = [f"w{k}" for k in range(6_000)]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words[:3_000]) for _ in range(400)) for _ in range(40)] + [" ".join(words)]
+    docs = h.awkward(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    voc, net = lm_score.fit(docs)
+    counts = Counter(w for t in texts for w in t.split())
+    number = dict(zip(words, voc.numbers(np.array([tx.seed_of(w) for w in words], np.uint64)).tolist(), strict=True))
+    bucket = Counter()
+    for w, n in counts.items():
+        bucket[number[w]] += n
+    asked = texts[:3] + texts[-1:] + ["neverseen", None]
+    got = {r.doc_id: (r.n_words, r.log_prob) for r in lm_score.score(h.awkward(spark, [(k, t, None, None) for k, t in enumerate(asked)]), model=(voc, net)).collect()}
+    for k, t in enumerate(asked):
+        n, want = _plain_score(t, voc, net)
+        for w in h.alnum(t):
+            b = number.get(w, int(voc.numbers(np.array([tx.seed_of(w)], np.uint64))[0]))
+            if b >= lm_score.OWN:
+                want += np.log(counts.get(w, 1) / (bucket[b] + 1))
+        assert got[k][0] == n and abs(got[k][1] - want) < 1e-3 * max(1, n)
+    alike = next(b for b, n in Counter(number.values()).items() if n > 2 and b >= lm_score.OWN)
+    own = sorted((w for w in words if number[w] == alike), key=counts.get)
+    least, most = (r.log_prob for r in sorted(lm_score.score(h.awkward(spark, [(0, own[0], None, None), (1, own[-1], None, None)]), model=(voc, net)).collect(), key=lambda r: r.doc_id))
+    assert abs(most - least - np.log(counts[own[-1]] / counts[own[0]])) < 1e-4
+
+
 # 8
 
 
