@@ -12,7 +12,8 @@ its own, so its size needs no bound.
 
 Defined results: a null or empty text has no words and is clean; an item without
 words matches nothing; an item shorter than the window is one window; items of
-equal text count each; repeated documents are judged each; empty tables give
+equal text count each; an item without an id hits like any other, but isn't among
+the items told; repeated documents are judged each; empty tables give
 empty results, an empty benchmark removes nothing.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fjordline.llm import text as tx
-from fjordline.llm.spark import small_batches
+from fjordline.llm.spark import Table, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -39,7 +40,7 @@ _OUT = ["_fj_n_words", "_fj_spans", "_fj_items", "_fj_longest", "_fj_longest_at"
 class Items:
     """A block of the benchmark: its words as ranks, item by item, each item closed by rank 0."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int) -> None:
         self.ids = ids
         hashes, owner, left = [], [], []
         chunk_base = 0
@@ -163,7 +164,7 @@ def shard_hits(chunk: tx.Chunk, items: Items) -> list[tuple]:
             for h in head:
                 longest[row[h]] = (int(bl[h]), int(at[h] - start_cell[row[h]]), items.ids[items.owner[bs[h]]])
     n = np.diff(w.first)
-    return [(int(n[r]), spans[r], sorted({items.ids[i] for i in own[r]}), *longest[r]) for r in range(rows)]
+    return [(int(n[r]), spans[r], sorted({items.ids[i] for i in own[r]} - {None}), *longest[r]) for r in range(rows)]
 
 
 def _scan(shared, text_col: str, keep: list[str]):
@@ -180,10 +181,10 @@ def _scan(shared, text_col: str, keep: list[str]):
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, window: int) -> Iterator[Items]:
     """The benchmark in blocks of at most block_words words (or one item), in order of item, streamed through the driver; one block at least."""
-    ids: list[str] = []
+    ids: list[str | None] = []
     texts: list[str | None] = []
     size = 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").orderBy("i", "t")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t")
     for item, text in rows.toLocalIterator():
         n = len(text or "")
         if ids and size + n > block_words * 6:
@@ -213,8 +214,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(*dict.fromkeys([*keep, text_col]))
-    schema = T.StructType([*(docs.schema[k] for k in keep), *T._parse_datatype_string(_SPANS).fields])
-    parts = [narrow.mapInArrow(_scan(spark.sparkContext.broadcast(block), text_col, keep), schema) for block in item_blocks(benchmark, item_col, item_text_col, block_words, window)]
+    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, item_text_col, block_words, window)]
+    if len(blocks) > 1:  # each block scans the rows again: a written number tells them apart
+        narrow = Table(narrow.withColumn("_fj_row", F.monotonically_increasing_id())).df
+        keep = [*keep, "_fj_row"]
+    schema = T.StructType([*(narrow.schema[k] for k in keep), *T._parse_datatype_string(_SPANS).fields])
+    parts = [narrow.mapInArrow(_scan(block, text_col, keep), schema) for block in blocks]
     if len(parts) == 1:
         return parts[0].withColumn("_fj_spans", F.array("_fj_spans"))
     merged = parts[0]
@@ -227,13 +232,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: the id, n_words, spans (words that windows cover, as [start, end)), n_hit, items, contaminated, and the
-    longest verbatim match: longest (words), longest_at (its first word), longest_item.  With more than one block of the
-    benchmark, rows of equal id and number of words are judged as one."""
+    longest verbatim match: longest (words), longest_at (its first word), longest_item."""
     found = _found(docs, benchmark, [id_col], text_col, item_col, item_text_col, window, block_words)
     union = F.pandas_udf(_union, "array<array<long>>")
-    found = found.withColumn("spans", F.when(F.size("_fj_items") > 0, union("_fj_spans")).otherwise(F.expr("cast(array() as array<array<bigint>>)")))
+    found = found.withColumn("spans", F.when(F.exists("_fj_spans", lambda s: F.length(s) > 0), union("_fj_spans")).otherwise(F.expr("cast(array() as array<array<bigint>>)")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x[1] - x[0])
-    return found.select(id_col, F.col("_fj_n_words").alias("n_words"), hit.alias("n_hit"), "spans", F.col("_fj_items").alias("items"), (F.size("_fj_items") > 0).alias("contaminated"), F.col("_fj_longest").alias("longest"), F.col("_fj_longest_at").alias("longest_at"), F.col("_fj_longest_item").alias("longest_item"))
+    return found.select(id_col, F.col("_fj_n_words").alias("n_words"), hit.alias("n_hit"), "spans", F.col("_fj_items").alias("items"), (F.size("spans") > 0).alias("contaminated"), F.col("_fj_longest").alias("longest"), F.col("_fj_longest_at").alias("longest_at"), F.col("_fj_longest_item").alias("longest_item"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -249,7 +253,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 def _drop(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [not h[2] for chunk in tx.chunks(batch.column(text_col)) for h in shard_hits(chunk, shared.value)]
+            hits = [not h[1] for chunk in tx.chunks(batch.column(text_col)) for h in shard_hits(chunk, shared.value)]
             yield batch.filter(pa.array(hits, pa.bool_()))
 
     return run

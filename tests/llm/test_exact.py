@@ -180,6 +180,17 @@ def test_decontamination_awkward(spark):
 def test_join_query(spark, sf_dir):
     want = h.components(_docs(spark, sf_dir))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()}
+@pytest.mark.parametrize("block", [1_000_000, 5])
+def test_decontamination_by_items_without_id_and_of_each_row(spark, block):
+    words = " ".join(f"q{k}" for k in range(12))
+    bench = spark.createDataFrame([(None, words), (3, " ".join(f"r{k}" for k in range(12))), (None, None)], "item_id long, text string")
+    plain = " ".join(f"x{k}" for k in range(12))
+    docs = h.awkward(spark, [(1, words, None, None), (2, plain, None, None), (2, plain, None, None), (None, words, None, None), (None, plain, None, None), (4, words, None, None), (4, plain, None, None)])
+    rows = decontam.find(docs, bench, block_words=block).collect()
+    assert Counter((r.doc_id, r.contaminated, r.n_hit, len(r["items"])) for r in rows) == Counter({(1, True, 12, 0): 1, (2, False, 0, 0): 2, (None, True, 12, 0): 1, (None, False, 0, 0): 1, (4, True, 12, 0): 1, (4, False, 0, 0): 1})
+    assert Counter((r.doc_id, r.text) for r in decontam.clean(docs, bench, block_words=block).collect()) == Counter({(2, plain): 2, (None, plain): 1, (4, plain): 1})
+
+
     assert got == want
 
 
