@@ -18,7 +18,8 @@ line), so the hashes of those halves are counted first; a line that shares none
 them with a different line has no partner and drops out.
 
 Defined results: a null text has no lines, an empty one a blank line; repeated rows
-of one id are one document; a null id sorts first; an empty table gives an empty
+of one id are one document; a null id sorts first, its lines being witnesses like
+all others; an empty table gives an empty
 result.  Should two different keys have one 64-bit hash, verification keeps the line.
 """
 
@@ -71,24 +72,31 @@ def _inverse(n: np.ndarray) -> np.ndarray:
     return _INV[n]
 
 
+def _places(chunk: tx.Chunk, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the chunk, without making a string of each line, and each line's span in them."""
+    lead = (chunk.raw & 0xC0) != 0x80
+    codes = points(chunk.raw.tobytes())
+    place = np.concatenate([[0], np.cumsum(lead)])
+    if len(codes) != place[-1]:  # not UTF-8: bytes stand in for code points
+        return chunk.raw.astype(np.uint32), start, end
+    return codes, place[start], place[end]
+
+
+def _whole(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return tx.mix(spans_hash(prefix, a, b, a) + (b - a).astype(np.uint64) * _VALUE)
+
+
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tx.chunks(batch.column(1)):
                 start, end, row, first = tx.lines(chunk)
-                # Code points by line, without making a string of each line.
-                lead = (chunk.raw & 0xC0) != 0x80
-                codes = points(chunk.raw.tobytes())
-                place = np.concatenate([[0], np.cumsum(lead)])
-                a, b = place[start], place[end]
-                exact = len(codes) == place[-1]
-                if not exact:  # not UTF-8: bytes stand in for code points
-                    codes, a, b = chunk.raw.astype(np.uint32), start, end
+                codes, a, b = _places(chunk, start, end)
                 solid = np.concatenate([[0], np.cumsum(~np.isin(codes, _SPACE))])
                 blank = solid[b] == solid[a]
                 prefix = prefix_hashes(codes)
                 n = b - a
-                whole = tx.mix(spans_hash(prefix, a, b, a) + n.astype(np.uint64) * _VALUE)
+                whole = _whole(prefix, a, b)
                 keys = []
                 for longer in (0, 1):  # as it is, and as the longer line of an insertion
                     m = np.maximum(n - longer, 0)
@@ -110,9 +118,11 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batch.column(1)):
             start, end, row, first = tx.lines(chunk)
             raw = chunk.raw.tobytes()
+            codes, a, b = _places(chunk, start, end)
+            whole = pa.array(_whole(prefix_hashes(codes), a, b).view(np.int64))
             ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).take(pa.array(row))
             number = pa.array((np.arange(len(row)) - first[:-1][row]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, number, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())], names=["id", "line", "text"])
+            yield pa.RecordBatch.from_arrays([ids, number, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string()), whole], names=["id", "line", "text", "h"])
 
 
 def neighbourhood(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +171,11 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
     # The first of each line that may have a partner, with its text.
     origin = attach(lines.df.select("h", "id", "line"), able.df, "h").groupBy("h").agg(F.min(F.struct("id", "line")).alias("at"))
     origin = Table(origin.select("h", F.col("at.id").alias("id"), F.col("at.line").alias("line")))
-    homes = attach(narrow.where("id is not null"), origin.df.select("id").distinct(), "id")
-    texts = Table(attach(homes.select("id", "text").mapInArrow(_texts, f"id {id_type}, line long, text string").distinct(), origin.df, ["id", "line"]).select("h", "id", "line", "text"))
+    homes = attach(narrow.where("id is not null"), origin.df.where("id is not null").select("id").distinct(), "id").select("id", "text").unionAll(narrow.where("id is null"))
+    # Rows without an id are many documents, so a place alone doesn't tell the line: its hash does.
+    at = origin.df.select("h", F.col("id").alias("at_id"), F.col("line").alias("at_line"))
+    held = attach(homes.mapInArrow(_texts, f"id {id_type}, line long, text string, h long"), at, "h").where("id <=> at_id and line = at_line")
+    texts = Table(held.select("h", "id", "line", "text").dropDuplicates(["h"]))
     keys = texts.df.mapInArrow(_neighbours, f"key long, role byte, h long, id {id_type}, line long")
     own = F.struct("id", "line", "h")
     bucket = Window.partitionBy("key")

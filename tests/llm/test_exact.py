@@ -76,6 +76,12 @@ def test_line_dedup_awkward(spark):
     assert line_dedup.summary(h.empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_lines_of_null_ids_as_witnesses(spark):
+    rows = [(1, "the very first lime\nother words stand here"), (2, "the very first line"), (None, "words of no other\nthe very first line"), (None, "a line of its own\nsome other words stand here"), (3, "same other words stand here")]
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in line_dedup.summary(h.awkward(spark, [(*r, None, "a") for r in rows])).where("doc_id is not null").collect()}
+    assert got == {1: (2, 0, 1), 2: (1, 1, 0), 3: (1, 0, 1)}
+
+
 # 2
 
 
@@ -174,12 +180,6 @@ def test_decontamination_awkward(spark):
     assert decontam.clean(df, bench.where("false")).count() == len(h.AWKWARD)
 
 
-# 5
-
-
-def test_join_query(spark, sf_dir):
-    want = h.components(_docs(spark, sf_dir))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()}
 @pytest.mark.parametrize("block", [1_000_000, 5])
 def test_decontamination_by_items_without_id_and_of_each_row(spark, block):
     words = " ".join(f"q{k}" for k in range(12))
@@ -191,6 +191,12 @@ def test_decontamination_by_items_without_id_and_of_each_row(spark, block):
     assert Counter((r.doc_id, r.text) for r in decontam.clean(docs, bench, block_words=block).collect()) == Counter({(2, plain): 2, (None, plain): 1, (4, plain): 1})
 
 
+# 5
+
+
+def test_join_query(spark, sf_dir):
+    want = h.components(_docs(spark, sf_dir))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op5_ngram_jaccard_join(spark, sf_dir).collect()}
     assert got == want
 
 
@@ -236,6 +242,15 @@ def test_join_awkward(spark):
     assert ngram_join.link(h.empty(spark)).count() == 0
 
 
+def test_keep_one_row_leaves_one_of_each_group(spark):
+    rows = [(5, h.PROSE), (5, h.PROSE), (5, "one two three"), (None, h.PROSE), (7, "one two three"), (None, "three four"), (None, "three four"), (8, None), (8, ""), (9, ""), (None, None), (None, ""), (6, h.PROSE + " today")]
+    df = h.awkward(spark, [(*r, None, "a") for r in rows])
+    kept = ngram_join.keep_one_row(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter({(5, h.PROSE): 1, (5, "one two three"): 1, (None, "three four"): 1, (8, ""): 1, (9, ""): 1, (None, ""): 2})
+    assert ngram_join.keep_one_row(h.empty(spark)).count() == 0
+
+
 # 7
 
 
@@ -253,15 +268,6 @@ def test_quality_rules_query(spark, sf_dir):
 def test_kneser_ney_sums_to_one_and_matches_a_plain_version(spark):
     texts = [h.PROSE, h.PROSE[:40], "abcabcabd", "x"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-def test_keep_one_row_leaves_one_of_each_group(spark):
-    rows = [(5, h.PROSE), (5, h.PROSE), (5, "one two three"), (None, h.PROSE), (7, "one two three"), (None, "three four"), (None, "three four"), (8, None), (8, ""), (9, ""), (None, None), (None, ""), (6, h.PROSE + " today")]
-    df = h.awkward(spark, [(*r, None, "a") for r in rows])
-    kept = ngram_join.keep_one_row(df)
-    assert kept.columns == df.columns
-    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter({(5, h.PROSE): 1, (5, "one two three"): 1, (None, "three four"): 1, (8, ""): 1, (9, ""): 1, (None, ""): 2})
-    assert ngram_join.keep_one_row(h.empty(spark)).count() == 0
-
-
     counts = Counter()
     for t in texts:
         s = quality_rules._SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
@@ -302,6 +308,19 @@ def test_quality_rules_awkward(spark):
     assert quality_rules.judge(h.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.33])
+def test_quality_band_rejects_planted_junk(spark, share):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    say = lambda own, n: " ".join(rng.choice(own) for _ in range(n))
+    good = [say(words, rng.randint(60, 120)) for _ in range(134)]
+    junk = [say(words[: 2 + k % 4], rng.randint(60, 120)) for k in range(round(len(good) * share / (1 - share)))]
+    docs = h.awkward(spark, [(k, t, "en", None) for k, t in enumerate(good + junk)] + [(1000 + k, t, "de", None) for k, t in enumerate(good)])
+    inside = {r.doc_id: r.in_band for r in quality_rules.judge(docs).collect()}
+    assert not any(inside[k] for k in range(len(good), len(good) + len(junk)))
+    assert sum(inside[k] for k in range(len(good))) >= 0.98 * len(good) and sum(inside[1000 + k] for k in range(len(good))) >= 0.98 * len(good)
+
+
 # 9
 
 
@@ -328,19 +347,6 @@ def test_sharding_query(spark, sf_dir):
         assert abs(n - share[source] / 16) <= 2
 
 
-@pytest.mark.parametrize("share", [0.05, 0.2, 0.33])
-def test_quality_band_rejects_planted_junk(spark, share):
-    rng = random.Random(12)
-    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(300)]
-    say = lambda own, n: " ".join(rng.choice(own) for _ in range(n))
-    good = [say(words, rng.randint(60, 120)) for _ in range(134)]
-    junk = [say(words[: 2 + k % 4], rng.randint(60, 120)) for k in range(round(len(good) * share / (1 - share)))]
-    docs = h.awkward(spark, [(k, t, "en", None) for k, t in enumerate(good + junk)] + [(1000 + k, t, "de", None) for k, t in enumerate(good)])
-    inside = {r.doc_id: r.in_band for r in quality_rules.judge(docs).collect()}
-    assert not any(inside[k] for k in range(len(good), len(good) + len(junk)))
-    assert sum(inside[k] for k in range(len(good))) >= 0.98 * len(good) and sum(inside[1000 + k] for k in range(len(good))) >= 0.98 * len(good)
-
-
 def test_sharding_is_the_sort_by_fractional_rank(spark, monkeypatch):
     rows = [(k, f"t{k}", None, ["a", "b", None][k % 7 % 3]) for k in range(500)]
     df = h.awkward(spark, rows)
