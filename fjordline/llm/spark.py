@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown that it has no more rows; beyond, Spark shuffles both sides.
@@ -14,11 +14,13 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs on this machine one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fjordline-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -67,27 +69,39 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) per node, component its smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), which need no row per pair of
-    a component and a logarithmic number of rounds in practice.  A round takes two exchanges; it is a written table.
+    a component and a logarithmic number of rounds in practice.  Least neighbours are aggregates, combined
+    before they are shuffled, so the centre of a large star is no task of its own; a round is a written table.
     """
-    around = Window.partitionBy("a")
     now = Table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, size = None, now.df.count()
     for _ in range(rounds):
         both = now.df.unionAll(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a is linked to the least node around a.
-        large = both.withColumn("m", F.least("a", F.min("b").over(around))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # Small star: every smaller neighbour of a, and a itself, is linked to the least of them; equal edges go.
-        small = large.withColumns({"m": F.min("b").over(around), "before": F.lag("b").over(around.orderBy("b"))}).where("before is null or before <> b")
-        small = small.select("m", F.explode(F.when(F.col("before").isNull(), F.array("a", "b")).otherwise(F.array("b"))).alias("a")).where("a <> m").select("a", F.col("m").alias("b"))
+        around = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = attach(both.where("b > a"), around, "a", rows=2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small star: every smaller neighbour of a, and a itself, is linked to the least of them.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = attach(large, least, "a", rows=size).select("m", F.explode(F.array("a", "b")).alias("a")).where("a <> m").select("a", F.col("m").alias("b")).distinct()
         after = Table(small)
-        count, total = after.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        size, total = after.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now.drop()
         now = after
-        if (count, total) == mark:
+        if (size, total) == mark:
             break
-        mark = (count, total)
+        mark = (size, total)
     else:
         raise RuntimeError("components did not settle")
-    settled = now.df.distinct()
-    roots = settled.select(F.col("b").alias("a"), "b").distinct()
-    return settled.unionAll(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = now.df.select(F.col("b").alias("a"), "b").distinct()
+    return now.df.unionAll(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df, written first unless it is a scan with projections and filters only: tasks that are run again see the same rows in the same order."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation"):
+            return Table(df).df
+        below = node.children()
+        todo += [below.apply(k) for k in range(below.size())]
+    return df

@@ -200,35 +200,58 @@ def test_join_query(spark, sf_dir):
     assert got == want
 
 
-@pytest.mark.parametrize("group_shingles", [1_500_000, 400])
-def test_join_of_many_near_copies(spark, group_shingles):
-    rng = random.Random(9)
+def _near_copies(seed=9, groups=4, copies=25, most=3):
+    rng = random.Random(seed)
     rows = []
-    for base in range(4):
+    for base in range(groups):
         words = [f"{rng.choice('abcdefgh')}{rng.randrange(60)}" for _ in range(60 + 40 * base)]
-        for _ in range(25):
+        for _ in range(copies):
             copy = list(words)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, most)):
                 copy[rng.randrange(len(copy))] = f"new{rng.randrange(1000)}"
             rows.append((len(rows) + 1, " ".join(copy[: len(copy) - rng.randint(0, 4)]), None, None))
+    return rows
+
+
+@pytest.mark.parametrize("grams,sets", [(500_000, 1_000), (400, 3)])
+def test_join_of_many_near_copies(spark, monkeypatch, grams, sets):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    rows = _near_copies()
     want = h.components([r[:2] for r in rows])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(h.awkward(spark, rows), group_shingles=group_shingles).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(h.awkward(spark, rows)).collect()}
     assert got == want
     assert 4 < len({c for _, c in got.values()}) < 100
 
 
-def test_segments_meet_for_all_sizes():
-    rng = np.random.default_rng(2)
-    bound = ngram_join.Bound(90, 100)
-    for size in [*range(1, 60), 100, 257, 1000]:
-        for _ in range(15):
-            own = rng.integers(0, 2**63, size, dtype=np.uint64)
-            drop = rng.integers(0, size // 9 + 1)
-            other = np.concatenate([own[drop:], rng.integers(0, 2**63, rng.integers(0, size // 9 + 1), dtype=np.uint64)])
-            a, b = np.unique(own), np.unique(other)
-            both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-                assert np.intersect1d(ngram_join.segments(a, bound), ngram_join.segments(b, bound)).size, (size, len(a), len(b), both)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_join_of_copies_that_pivots_miss(spark, seed):
+    """Edits near the bound: much alike, seldom linked, so that tiles must find links."""
+    rows = _near_copies(seed, 2, 60, 7)
+    want = h.components([r[:2] for r in rows])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(h.awkward(spark, rows)).collect()}
+    assert got == want
+
+
+def test_fragments_count_partial_overlaps(spark):
+    rng = np.random.default_rng(3)
+    common = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    sets = [np.sort(rng.choice(common, size, replace=False)) for size in (200, 150, 299, 1)]
+    held = spark.createDataFrame([(k, len(s), s.tobytes()) for k, s in enumerate(sets)], "sid long, n long, grams binary")
+    jobs = spark.createDataFrame([(7, 0, 0, 2, k, len(s)) for k, s in enumerate(sets)], "a long, b long, c long, role byte, sid long, n long")
+    parts = [np.frombuffer(r["counts"], np.int32).reshape(4, 4) for r in ngram_join.partial_overlaps(jobs, held, 8).collect()]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert len(parts) == 8 and all((p[:3, :3] < want[:3, :3]).all() for p in parts)
+    assert (sum(parts) == want).all()
+    bounds = ngram_join._cuts(common, 8)
+    for part, own in zip(range(8), np.split(common, bounds[1:-1]), strict=True):
+        assert (ngram_join.fragment_of(own, 8) == part).all()
+
+
+def test_join_by_ids_that_are_words(spark):
+    rows = [("b", h.PROSE), ("a", h.PROSE + " today"), ("c", "else"), (None, h.PROSE), (None, "else")]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == Counter([("b", "a"), ("a", "a"), ("c", "c"), (None, "a"), (None, "c")])
 
 
 def test_join_awkward(spark):
@@ -236,9 +259,6 @@ def test_join_awkward(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(df).collect()}
     assert got[1][1] == got[2][1] == got[3][1] == 1 and got[4] == (0, 4) and got[5] == (0, 5) and got[6] == (0, 6)
     assert got[10] == (1, 10) and got[11] == (1, 10) and got[9] == (1, 9) and got[13] == (1, 13) and got[-5][1] == -5 and got[None][1] is None
-    kept = ngram_join.keep_one(df)
-    assert kept.columns == df.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in h.AWKWARD if i not in (2, 3, 11))
     assert ngram_join.link(h.empty(spark)).count() == 0
 
 
