@@ -15,12 +15,17 @@ is then verified on the texts.
 Only lines that can have a partner give their neighbourhood.  One edit leaves the
 first or the second half as it is (for an insertion, either half of the shorter
 line), so the hashes of those halves are counted first; a line that shares none of
-them with a different line has no partner and drops out.
-
-Defined results: a null text has no lines, an empty one a blank line; repeated rows
-of one id are one document; a null id sorts first, its lines being witnesses like
-all others; an empty table gives an empty
-result.  Should two different keys have one 64-bit hash, verification keeps the line.
+them with a different line has no partner and drops out, and the others give variants
+only of the half that a shared one leaves open.  Keys are aggregated, combined before
+they are shuffled, so a key of very many lines is no task of its own.
+
+Defined results: a document is a pair of id and text, so repeated rows are one
+document, and rows that share an id, or have none, are documents each if their texts
+differ, in the order of a hash; a null id sorts first; a null text has no lines, an empty
+one a blank line; of equal lines the earliest stays; a very long line is a line like any
+other (a task holds its variants in steps); only id and text are read, so columns that
+clash are left alone; an empty table gives an empty result.  Should two different keys
+have one 64-bit hash, verification keeps the line; lines are equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
@@ -89,7 +94,7 @@ def _whole(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
+            for chunk in tx.chunks(batch.column(2)):
                 start, end, row, first = tx.lines(chunk)
                 codes, a, b = _places(chunk, start, end)
                 solid = np.concatenate([[0], np.cumsum(~np.isin(codes, _SPACE))])
@@ -106,9 +111,10 @@ def _lines(least: int):
                     keys.append(tx.mix(spans_hash(prefix, np.minimum(a + h + longer, b), b, np.minimum(a + h + longer, b)) + salt, 22))
                 none = blank | (n < least)
                 long = lambda v, m=None: pa.array(v.view(np.int64), pa.int64(), mask=m)
-                ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).take(pa.array(row))
+                which = pa.array(row)
+                own = [batch.column(k).slice(chunk.lo, chunk.hi - chunk.lo).take(which) for k in (0, 1)]
                 number = pa.array((np.arange(len(row)) - first[:-1][row]).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([ids, number, pa.array(blank), long(whole), *(long(k, none) for k in keys)], names=["id", "line", "blank", "h", "k0", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays([*own, number, pa.array(blank), long(whole), *(long(k, none) for k in keys)], names=["id", "doc", "line", "blank", "h", "k0", "k1", "k2", "k3"])
 
     return run
 
@@ -118,99 +124,126 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batch.column(1)):
             start, end, row, first = tx.lines(chunk)
             raw = chunk.raw.tobytes()
-            codes, a, b = _places(chunk, start, end)
-            whole = pa.array(_whole(prefix_hashes(codes), a, b).view(np.int64))
-            ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).take(pa.array(row))
+            doc = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo).take(pa.array(row))
             number = pa.array((np.arange(len(row)) - first[:-1][row]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, number, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string()), whole], names=["id", "line", "text", "h"])
+            yield pa.RecordBatch.from_arrays([doc, number, pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())], names=["doc", "line", "text"])
+
+
+#: Bits of `halves`: the line as it is shares its first, its second half; as the longer line of an insertion its first, its second.
+ALL = 15
 
 
-def neighbourhood(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their roles: 0 without a place, keyed by place (substitution); 1 without a place (the longer of an insertion); 2 whole (the shorter)."""
+def neighbourhood(codes: np.ndarray, halves: int = ALL) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their roles: 0 without a place, keyed by place (substitution); 1 without a place (the longer of an insertion); 2 whole
+    (the shorter).  A shared half says that the place is in the other one."""
     n = len(codes)
     prefix = prefix_hashes(codes)
     i = np.arange(n)
     # codes without place i: what stands before it, and what stands after it moved one to the left.
     cut = prefix[i] + (prefix[n] - prefix[i + 1]) * _BASE_INVERSE
     salt = np.full(1, max(n - 1, 0), np.uint64) * _VALUE
-    by_place = tx.mix(cut + salt + (i + 1).astype(np.uint64) * _POINT, 31)
-    fresh = np.concatenate([[True], codes[1:] != codes[:-1]]) if n else np.zeros(0, bool)  # a run gives the same line wherever it is cut
-    shorter = tx.mix(cut[fresh] + salt, 32)
-    whole = tx.mix(prefix[n : n + 1] + np.full(1, n, np.uint64) * _VALUE, 32)
-    return np.concatenate([by_place, shorter, whole]), np.concatenate([np.zeros(n, np.int8), np.ones(len(shorter), np.int8), np.full(1, 2, np.int8)])
+    half, shorter_half = n // 2, max(n - 1, 0) // 2
+    place = i[half if not halves & 2 else 0 : half if not halves & 1 else n]
+    by_place = tx.mix(cut[place] + salt + (place + 1).astype(np.uint64) * _POINT, 31)
+    some = i[shorter_half if not halves & 8 else 0 : n if halves & 4 else shorter_half + 1 if halves & 8 else shorter_half]
+    fresh = np.ones(len(some), bool)  # a run gives the same line wherever it is cut
+    fresh[1:] = codes[some[1:]] != codes[some[:-1]]
+    shorter = tx.mix(cut[some[fresh]] + salt, 32)
+    whole = tx.mix(prefix[n : n + 1] + np.full(1, n, np.uint64) * _VALUE, 32)[: 1 if halves & 3 else 0]
+    return np.concatenate([by_place, shorter, whole]), np.concatenate([np.zeros(len(by_place), np.int8), np.ones(len(shorter), np.int8), np.full(len(whole), 2, np.int8)])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(3)
+        keys, roles, owners, held = [], [], [], 0
+        numbers, halves = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for k in range(batch.num_rows):
-            keys, role = neighbourhood(points(texts[k].as_py().encode()))
-            for lo in range(0, len(keys), 200_000):
-                part = slice(lo, lo + 200_000)
-                size = len(role[part])
-                same = pa.array(np.full(size, k))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(role[part]), *(batch.column(c).take(same) for c in (0, 1, 2))], names=["key", "role", "h", "id", "line"])
+            key, role = neighbourhood(points(batch.column(2)[k].as_py().encode()), halves[k])
+            keys.append(key)
+            roles.append(role)
+            owners.append(np.full(len(key), numbers[k]))
+            held += len(key)
+            if held > 200_000 or k + 1 == batch.num_rows:
+                flat = [np.concatenate(x) for x in (keys, roles, owners)]
+                for lo in range(0, held, 200_000):
+                    part = slice(lo, lo + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[0][part].view(np.int64)), pa.array(flat[1][part]), pa.array(flat[2][part])], names=["key", "role", "no"])
+                keys, roles, owners, held = [], [], [], 0
+
+
+def _doc(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per line that goes: the id, line, kind ('exact' or 'near'), and the earlier line it goes for: of_id, of_line."""
-    return _decide(docs, id_col, text_col, least)[0]
+    """One row per line that goes: the id, doc (xxhash64 of id and text), line, kind ('exact' or 'near'), and the earlier line it goes for: of_id, of_doc, of_line."""
+    return _decide(docs, id_col, text_col, least)[0].distinct()
+
+
+def _near(texts: DataFrame) -> Table:
+    """(no, witness): each line's earliest one within one edit.  texts: no, halves, text; numbers in the order of lines."""
+    keys = texts.select("no", "halves", "text").mapInArrow(_neighbours, "key long, role byte, no long")
+    of = lambda f, role: f(F.when(F.col("role") == role, F.col("no")))
+    met = keys.groupBy("key").agg(of(F.min, 0).alias("n0"), of(F.max, 0).alias("x0"), of(F.min, 1).alias("n1"), of(F.min, 2).alias("n2"))
+    met = Table(met.where("n0 < x0 or (n1 is not null and n2 is not null)").select("key", "n0", "n1", "n2"))
+    witness = F.when(F.col("role") == 0, F.col("n0")).when(F.col("role") == 1, F.col("n2")).otherwise(F.col("n1"))
+    first = attach(keys, met.df, "key").select("no", witness.alias("witness")).where("witness < no").groupBy("no").agg(F.min("witness").alias("witness"))
+    first = Table(first)
+    met.drop()
+    return first
 
 
 def _decide(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    narrow = docs.select(F.col(id_col).alias("id"), _doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).where("text is not null")
     id_type = docs.schema[id_col].dataType.simpleString()
-    lines = Table(narrow.mapInArrow(_lines(least), f"id {id_type}, line long, blank boolean, h long, k0 long, k1 long, k2 long, k3 long"))
-    me = F.struct("id", "line")
+    lines = Table(narrow.mapInArrow(_lines(least), f"id {id_type}, doc long, line long, blank boolean, h long, k0 long, k1 long, k2 long, k3 long"))
+    me = F.struct("id", "doc", "line")
     firsts = lines.df.where("not blank").groupBy("h").agg(F.min(me).alias("first"), F.max(me).alias("last"))
     exact = Table(firsts.where("first <> last").select("h", "first"))
-    halves = lines.df.where("k0 is not null").select("h", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    halves = lines.df.where("k0 is not null").select("h", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("k", "key"))
     shared = Table(halves.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
-    able = Table(attach(halves, shared.df, "key").select("h").distinct())
-    # The first of each line that may have a partner, with its text.
-    origin = attach(lines.df.select("h", "id", "line"), able.df, "h").groupBy("h").agg(F.min(F.struct("id", "line")).alias("at"))
-    origin = Table(origin.select("h", F.col("at.id").alias("id"), F.col("at.line").alias("line")))
-    homes = attach(narrow.where("id is not null"), origin.df.where("id is not null").select("id").distinct(), "id").select("id", "text").unionAll(narrow.where("id is null"))
-    # Rows without an id are many documents, so a place alone doesn't tell the line: its hash does.
-    at = origin.df.select("h", F.col("id").alias("at_id"), F.col("line").alias("at_line"))
-    held = attach(homes.mapInArrow(_texts, f"id {id_type}, line long, text string, h long"), at, "h").where("id <=> at_id and line = at_line")
-    texts = Table(held.select("h", "id", "line", "text").dropDuplicates(["h"]))
-    keys = texts.df.mapInArrow(_neighbours, f"key long, role byte, h long, id {id_type}, line long")
-    own = F.struct("id", "line", "h")
-    bucket = Window.partitionBy("key")
-    least_of = lambda role: F.min(F.when(F.col("role") == role, own)).over(bucket)
-    near = keys.select("h", own.alias("own"), F.when(F.col("role") == 0, least_of(0)).when(F.col("role") == 1, least_of(2)).otherwise(least_of(1)).alias("witness")).where("witness < own")
-    near = near.groupBy("h").agg(F.min("witness").alias("witness")).select("h", F.col("witness.id").alias("of_id"), F.col("witness.line").alias("of_line"), F.col("witness.h").alias("of_h"))
-    theirs = texts.df.select(F.col("h").alias("of_h"), F.col("text").alias("of_text"))
-    near = attach(texts.df.select("h", "text"), near, "h").join(theirs, "of_h").where(F.levenshtein("text", "of_text", 1).between(0, 1))
-    near = Table(near.select("h", F.struct(F.col("of_id").alias("id"), F.col("of_line").alias("line")).alias("near")))
-    rows = lines.df.where("not blank").select("id", "line", "h")
+    able = Table(attach(halves, shared.df, "key").groupBy("h").agg(F.expr("bit_or(shiftleft(1, k))").alias("halves")))
+    # The first of each line that may have a partner, with its text, numbered in order.
+    origin = attach(lines.df.select("h", "id", "doc", "line"), able.df, "h").groupBy("h", "halves").agg(F.min(me).alias("at"))
+    origin = Table(origin.select("h", "halves", "at.id", "at.doc", "at.line"))
+    homes = attach(narrow.select("doc", "text"), origin.df.select("doc").distinct(), "doc")
+    texts = attach(homes.mapInArrow(_texts, "doc long, line long, text string"), origin.df, ["doc", "line"]).dropDuplicates(["h"])
+    texts = Table(texts.orderBy("id", "doc", "line").withColumn("no", F.monotonically_increasing_id()))
+    first = _near(texts.df)
+    count = first.df.count()
+    theirs = texts.df.select(F.col("no").alias("witness"), F.col("text").alias("of_text"), F.struct("id", "doc", "line").alias("near"))
+    near = attach(texts.df.select("no", "h", "text"), first.df, "no", rows=count)
+    near = attach(theirs, near, "witness", rows=count).where(F.levenshtein("text", "of_text", 1).between(0, 1))
+    near = Table(near.select("h", "near"))
+    rows = lines.df.where("not blank").select("id", "doc", "line", "h")
     rows = attach(attach(rows, exact.df, "h", "left"), near.df, "h", "left")
-    equal = F.col("first").isNotNull() & (F.col("first") != F.struct("id", "line"))
+    equal = F.col("first").isNotNull() & (F.col("first") != me)
     gone = rows.withColumn("kind", F.when(equal, "exact").when(F.col("near").isNotNull(), "near")).where("kind is not null")
     gone = gone.withColumn("of", F.when(F.col("kind") == "exact", F.least("first", F.coalesce("near", "first"))).otherwise(F.col("near")))
-    for table in (shared, able):
+    for table in (shared, able, origin, texts, first):
         table.drop()
-    return gone.select("id", "line", "kind", F.col("of.id").alias("of_id"), F.col("of.line").alias("of_line")), lines.df
+    return gone.select("id", "doc", "line", "kind", F.col("of.id").alias("of_id"), F.col("of.doc").alias("of_doc"), F.col("of.line").alias("of_line")), lines.df
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Per id of docs: n_lines, n_exact, n_near (lines that go), n_kept, gone (their numbers)."""
+def _counted(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """Per document (doc): n_lines, and of the lines that go n_exact, n_near, gone (their numbers)."""
     gone, lines = _decide(docs, id_col, text_col, least)
-    gone = gone.distinct().groupBy("id").agg(F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("gone"))
-    totals = lines.groupBy("id").agg((F.max("line") + 1).alias("n_lines"))
-    counted = totals.join(gone, totals["id"].eqNullSafe(gone["id"]), "left").select(totals["id"], "n_lines", "n_exact", "n_near", "gone")
-    everyone = docs.select(F.col(id_col).alias("doc")).distinct()
-    out = everyone.join(counted, everyone["doc"].eqNullSafe(counted["id"]), "left")
+    gone = gone.select("doc", "line", "kind").distinct().groupBy("doc").agg(F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("gone"))
+    return lines.groupBy("doc").agg((F.max("line") + 1).alias("n_lines")).join(gone, "doc", "left")
+
+
+def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """Per row of docs: the id, n_lines, n_exact, n_near (lines that go), n_kept, gone (their numbers)."""
+    counted = _counted(docs, id_col, text_col, least)
+    out = docs.select(F.col(id_col).alias("id"), _doc(id_col, text_col).alias("doc")).join(counted, "doc", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(F.col("doc").alias(id_col), zero("n_lines").alias("n_lines"), zero("n_exact").alias("n_exact"), zero("n_near").alias("n_near"), (zero("n_lines") - zero("n_exact") - zero("n_near")).alias("n_kept"), F.coalesce("gone", F.expr("cast(array() as array<bigint>)")).alias("gone"))
+    return out.select(F.col("id").alias(id_col), zero("n_lines").alias("n_lines"), zero("n_exact").alias("n_exact"), zero("n_near").alias("n_near"), (zero("n_lines") - zero("n_exact") - zero("n_near")).alias("n_kept"), F.coalesce("gone", F.expr("cast(array() as array<bigint>)")).alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """docs with the lines that go taken out of the text; columns as they are."""
-    gone = summary(docs, id_col, text_col, least).where(F.size("gone") > 0).select(F.col(id_col).alias("_fj_id"), F.col("gone").alias("_fj_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_fj_id"]), "left")
+    gone = _counted(docs, id_col, text_col, least).where(F.size("gone") > 0).select(F.col("doc").alias("_fj_doc"), F.col("gone").alias("_fj_gone"))
+    joined = docs.join(gone, _doc(id_col, text_col) == F.col("_fj_doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_fj_gone"), i.cast("long"))), "\n")
     return joined.withColumn(text_col, F.when(F.col("_fj_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*[c for c in docs.columns])
-

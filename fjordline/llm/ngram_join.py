@@ -47,7 +47,7 @@ from fjordline.llm import text as tx
 from fjordline.llm.spark import BROADCAST_ROWS, Table, attach, components, small_batches, steady
 
 N, NUM, DEN = 3, 90, 100
-FRAGMENT_GRAMS = 4_000_000  # of a counting task, about
+FRAGMENT_GRAMS = 1_000_000  # of a counting task, about
 FRAGMENTS = 8  # of a comparison
 BLOCK_GRAMS, BLOCK_SETS = 500_000, 1_000  # of a block of sets that a task compares, about
 _NONE = 0xFFFF
@@ -278,7 +278,7 @@ def _segments(fragments: int):
     return run
 
 
-def overlap(rows: list[np.ndarray], cols: list[np.ndarray], step: int = 4_000_000) -> np.ndarray:
+def overlap(rows: list[np.ndarray], cols: list[np.ndarray], step: int = 1_000_000) -> np.ndarray:
     """How many n-grams each of rows has in common with each of cols, as a matrix."""
     size = np.array([len(c) for c in cols], np.int64)
     gram = np.concatenate([np.zeros(0, np.uint64), *cols])
@@ -365,7 +365,7 @@ def partial_overlaps(jobs: DataFrame, sets: DataFrame, fragments: int = FRAGMENT
     grams, count = jobs.agg(F.sum("n"), F.count("*")).first()
     sides = jobs.groupBy("a", "b", "c").agg((F.count_if(F.col("role") != 1) * F.count_if(F.col("role") != 0)).alias("cells"))
     cells = sides.agg(F.sum("cells")).first()[0] or 0
-    buckets = 1 + max((grams or 0) // (fragments * BLOCK_GRAMS), cells // (2 * BLOCK_SETS**2))
+    buckets = 1 + max((grams or 0) // (fragments * BLOCK_GRAMS), cells // BLOCK_SETS**2)
     dealt = attach(sets.select("sid", "grams"), jobs.withColumn("bucket", F.pmod(F.xxhash64("a", "b", "c"), F.lit(buckets))), "sid", rows=count)
     pieces = dealt.mapInArrow(_segments(fragments), "frag long, bucket long, a long, b long, c long, role byte, sid long, n long, seg binary")
     return pieces.groupBy("bucket", "frag").applyInArrow(_partial, "bucket long, a long, b long, c long, rows binary, cols binary, counts binary")

@@ -85,6 +85,46 @@ def test_line_dedup_takes_lines_of_null_ids_as_witnesses(spark):
 # 2
 
 
+def test_line_dedup_never_takes_a_line_that_stands_alone(spark):
+    """Rows that share an id, or have none, are documents each."""
+    rng = random.Random(11)
+    name = lambda k: "".join(rng.choice("abcdefghij") for _ in range(14)) + f" {k}"
+    own = [name(k) for k in range(60)]
+    common = "a line that many documents hold"
+    rows = []
+    for k in range(20):
+        lines = own[3 * k : 3 * k + 3]
+        lines.insert(k % 4, common)
+        rows.append((None if k % 3 == 0 else 2 if k % 3 == 1 else k, "\n".join(lines), None, "a"))
+    rows += rows[:2]
+    kept = [r.text for r in line_dedup.dedup(h.awkward(spark, rows)).collect()]
+    assert len(kept) == 22
+    left = Counter(x for t in kept for x in t.split("\n"))
+    assert set(own) <= set(left)
+    first = [t for t in kept if common in t]
+    assert len(set(first)) == 1, first
+
+
+def test_halves_lose_no_single_edit():
+    rng = random.Random(5)
+    for _ in range(300):
+        x = [rng.choice("aab") for _ in range(rng.randint(10, 17))]
+        y = list(x)
+        at = rng.randrange(len(y))
+        if rng.random() < 0.5:
+            y[at] = "z"
+        else:
+            y.insert(at, rng.choice("ab"))
+        same = 0 if len(x) == len(y) else 1
+        m, half = len(x), len(x) // 2
+        first, second = x[:half] == y[:half], x[half:] == y[half + same :]
+        mine = line_dedup.neighbourhood(line_dedup.points("".join(x).encode()), first + 2 * second)
+        theirs = line_dedup.neighbourhood(line_dedup.points("".join(y).encode()), (first + 2 * second) << (2 * same))
+        keys = lambda got, role: set(got[0][got[1] == role].tolist())
+        assert first or second
+        assert keys(mine, 2 * same) & keys(theirs, same), (x, y, m)
+
+
 def _base(text):
     w = h.alnum(text)
     starts, labels = [], set()
