@@ -9,14 +9,16 @@ probability of its own (a word that wasn't counted has one as if counted once mo
 text's score is the sum of its words' conditional log-probabilities.
 
 The vocabulary is counted by Spark over all texts; it grows with the corpus and stays a
-table.  The network is trained in numpy in the tasks: the documents (one in `every`, by a
-hash of the id) are dealt to as many tasks as their number asks for, each takes AdaGrad steps from the same start, and the networks are
-averaged, weighed by words, twice over; so the training data grow with the corpus,
-while a network has a fixed size.
+table.  The network is trained in numpy in the tasks, on every document once, in ROUNDS
+rounds: the documents of a round are dealt to as many tasks as their number asks for, each takes
+AdaGrad steps from the same start, and the networks are averaged, weighed by words; so the
+training data grow with the corpus, while a network has a fixed size.
 
 Defined results: a null text or one without words has log_prob 0 and no mean; repeated
-rows are scored each; an empty table gives an empty result.  Texts are whole: long
-ones are taken in steps of STEP words that see their neighbours across the step.
+rows are scored each, and each trains; words that are equally frequent at the border of the vocabulary
+go by their hashes; only id and text are read, so columns that clash are left alone; an empty
+table gives an empty result.  Texts are whole: long ones are taken in steps of STEP words
+that see their neighbours across the step.
 """
 
 from __future__ import annotations
@@ -36,11 +38,10 @@ VOCABULARY = SIDE * SIDE
 OWN = VOCABULARY // 2  # numbers 1 .. OWN - 1 are frequent words; 0 is outside the text
 DIM = 16
 REACH = 2
-EVERY = 1
 DOCS_PER_TASK = 4_000
 ROUNDS = 2
-STEP = 1 << 16
-RATE, BATCH, FLOOR = 0.1, 2048, 1e-6
+STEP = 1 << 13
+RATE, BATCH, FLOOR = 0.1, 8192, 1e-6
 _SHAPES = {"E": (VOCABULARY, DIM), "P": (2 * REACH, DIM), "b": (DIM,), "C": (DIM, SIDE), "c": (SIDE,), "W": (SIDE, DIM, SIDE), "w": (SIDE, SIDE)}
 _BLOCK = 2_048
 
@@ -80,72 +81,92 @@ class Network:
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """ln p of each word given its context, classes in turn."""
         p = self.parts
-        out = np.empty(len(word), np.float32)
-        group, inner = word // SIDE, word % SIDE
-        h = self.hidden(context)
-        order = np.argsort(group, kind="stable")
-        at = np.searchsorted(group[order], np.arange(SIDE + 1))
+        order, at = _by_class(word)
+        inner = (word % SIDE)[order]
+        h = self.hidden(context[order])
+        got = np.empty(len(word), np.float32)
         logits = h @ p["C"] + p["c"]
-        out[:] = logits[np.arange(len(word)), group] - _lse(logits)
-        for g in range(SIDE):
-            own = order[at[g] : at[g + 1]]
-            if len(own):
-                logits = h[own] @ p["W"][g] + p["w"][g]
-                out[own] += logits[np.arange(len(own)), inner[own]] - _lse(logits)
+        own = logits[np.arange(len(word)), (word // SIDE)[order]]
+        np.subtract(own, _lse(logits), out=got)
+        for g in np.flatnonzero(np.diff(at)):
+            part = slice(at[g], at[g + 1])
+            logits = h[part] @ p["W"][g] + p["w"][g]
+            own = logits[np.arange(len(logits)), inner[part]]
+            got[part] += own - _lse(logits)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
-    def train(self, context: np.ndarray, word: np.ndarray, rate: float = RATE, batch: int = BATCH, floor: float = FLOOR) -> None:
-        """One pass of AdaGrad in order."""
+    def train(self, context: np.ndarray, word: np.ndarray, rate: float = RATE, batch: int = BATCH, floor: float = FLOOR, seen: dict[str, np.ndarray] | None = None) -> None:
+        """One pass of AdaGrad in order; seen: the squares so far, for passes that go on."""
         p = self.parts
-        seen = {k: np.full(v.shape, floor, np.float32) for k, v in p.items()}
+        if seen is None:
+            seen = self.squares(floor)
 
         def move(k, grad, at=slice(None)):
             seen[k][at] += grad * grad
             p[k][at] -= rate * grad / np.sqrt(seen[k][at])
 
         for lo in range(0, len(word), batch):
-            ctx, target = context[lo : lo + batch], word[lo : lo + batch]
+            # Within a batch words are taken class by class.
+            order, at = _by_class(word[lo : lo + batch])
+            target, ctx = word[lo : lo + batch][order], context[lo : lo + batch][order]
             n = len(target)
-            group, inner = target // SIDE, target % SIDE
+            inner, every = target % SIDE, np.arange(n)
             h = self.hidden(ctx)
             d = _softmax(h @ p["C"] + p["c"])
-            d[np.arange(n), group] -= 1
+            d[every, target // SIDE] -= 1
             dh = d @ p["C"].T
             move("C", h.T @ d / n)
             move("c", d.mean(0))
-            order = np.argsort(group, kind="stable")
-            at = np.searchsorted(group[order], np.arange(SIDE + 1))
             for g in np.flatnonzero(np.diff(at)):
-                own = order[at[g] : at[g + 1]]
-                d = _softmax(h[own] @ p["W"][g] + p["w"][g])
-                d[np.arange(len(own)), inner[own]] -= 1
+                own = slice(at[g], at[g + 1])
+                mine = h[own]
+                d = _softmax(mine @ p["W"][g] + p["w"][g])
+                d[every[: len(mine)], inner[own]] -= 1
                 dh[own] += d @ p["W"][g].T
-                move("W", h[own].T @ d / n, g)
+                move("W", mine.T @ d / n, g)
                 move("w", d.sum(0) / n, g)
             dz = dh * (1 - h * h)
             move("b", dz.mean(0))
-            rows = np.concatenate([ctx[:, k] for k in range(2 * REACH)])
+            rows = ctx.T.ravel()
             grads = np.concatenate([dz * p["P"][k] for k in range(2 * REACH)])
             gate = np.stack([(dz * p["E"][ctx[:, k]]).mean(0) for k in range(2 * REACH)])
-            by = np.argsort(rows, kind="stable")
-            used, head = np.unique(rows[by], return_index=True)
-            move("E", np.add.reduceat(grads[by], head, axis=0) / n, used)
+            by = np.argsort(rows.astype(np.int16), kind="stable")
+            ranked = rows[by]
+            head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            move("E", np.add.reduceat(grads[by], head, axis=0) / n, ranked[head])
             move("P", gate)
 
+    def squares(self, floor: float = FLOOR) -> dict[str, np.ndarray]:
+        return {k: np.full(v.shape, floor, np.float32) for k, v in self.parts.items()}
+
+
+def _by_class(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that takes words class by class, and where each class begins."""
+    group = (word // SIDE).astype(np.int8)  # SIDE is below 128; small integers are sorted by radix
+    order = np.argsort(group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=SIDE))])
+
 
 def _lse(x: np.ndarray) -> np.ndarray:
+    """ln of the sum of exp(x) by row; x is overwritten."""
     top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(1))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """By row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def contexts(number: np.ndarray, first: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The REACH numbers before and after each word, 0 outside its text."""
-    padded = np.zeros(len(number) + REACH * len(first), np.int64)
+    padded = np.zeros(len(number) + REACH * len(first), np.int32)
     at = np.arange(len(number)) + REACH * (row + 1)
     padded[at] = number
     return np.stack([padded[at + k] for k in range(-REACH, REACH + 1) if k], 1)
@@ -230,18 +251,26 @@ def _numbers(shared):
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words, part = Network.unflat(shared.value.copy()), 0, 0
+        seen = net.squares()
+        held, size = [], 0
+
+        def learn():
+            number = np.concatenate(held).astype(np.int32)
+            first = np.concatenate([[0], np.cumsum([len(t) for t in held])])
+            ctx = contexts(number, first, np.repeat(np.arange(len(held)), np.diff(first)))
+            net.train(ctx, number, seen=seen)
+
         for batch in batches:
-            texts = [np.frombuffer(b.as_py(), np.int16).astype(np.int64) for b in batch.column(1)]
-            for lo in range(0, len(texts), 256):
-                some = texts[lo : lo + 256]
-                number = np.concatenate(some)
-                first = np.concatenate([[0], np.cumsum([len(t) for t in some])])
-                row = np.repeat(np.arange(len(some)), np.diff(first))
-                ctx = contexts(number, first, row)
-                for a in range(0, len(number), STEP):
-                    net.train(ctx[a : a + STEP], number[a : a + STEP])
-                words += len(number)
             part = batch.column(0)[0].as_py() if batch.num_rows else part
+            for b in batch.column(1):
+                held.append(np.frombuffer(b.as_buffer(), np.int16))
+                size += len(held[-1])
+                if size >= 8 * BATCH:
+                    learn()
+                    words, held, size = words + size, [], 0
+        if size:
+            learn()
+            words += size
         if words:
             flat = net.flat()
             blocks = range(0, len(flat), _BLOCK)
@@ -257,27 +286,32 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "part": pa.array([0], pa.int64()), "weight": pa.array([weight]), "values": pa.array([mean.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, docs_per_task: int = DOCS_PER_TASK, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_task: int = DOCS_PER_TASK, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
+    """Each document trains in one of the rounds, those of a round in as many tasks as their number asks for."""
     sc = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
     voc, counts = vocabulary(docs, text_col)
     shared = sc.broadcast(voc)
-    key = F.xxhash64(F.lit(1), id_col)
-    picked = docs.select(key.alias("k"), text_col).where(F.pmod("k", F.lit(every)) == 0)
-    tasks = -(-docs.select(id_col).where(F.pmod(key, F.lit(every)) == 0).count() // docs_per_task)
+    # Texts of one id may be many: the deal goes by text as well.
+    keyed = docs.select(F.xxhash64(F.lit(1), id_col, text_col).alias("k"), text_col)
+    turn = F.pmod(F.shiftright("k", 8), F.lit(rounds))
+    sizes = dict(keyed.groupBy(turn.alias("turn")).count().collect())
     net = Network.start(counts)
-    if not tasks:
-        return voc, net
-    # Texts of one id may be many: the deal goes by text as well.  Sorted, so that a lost task repeats itself.
-    dealt = picked.mapInArrow(_numbers(shared), "k long, numbers binary").repartition(tasks, F.xxhash64("k", "numbers")).sortWithinPartitions("k", "numbers").persist()
     schema = "block int, part long, weight double, values binary"
-    for _ in range(rounds):
-        parts = dealt.mapInArrow(_train(sc.broadcast(net.flat())), schema)
+    for k in range(rounds):
+        tasks = -(-sizes.get(k, 0) // docs_per_task)
+        if not tasks:
+            continue
+        # Sorted, so that a lost task repeats itself.
+        dealt = keyed.where(turn == k).mapInArrow(_numbers(shared), "k long, numbers binary").repartition(tasks, "k").sortWithinPartitions("k", "numbers")
+        start = sc.broadcast(net.flat())
+        parts = dealt.mapInArrow(_train(start), schema)
         mean = parts.groupBy("block", "part").applyInArrow(_average, schema).groupBy("block").applyInArrow(_average, schema)
         rows = sorted(mean.collect(), key=lambda r: r["block"])  # one network: 136,000 numbers
         if rows:
             net = Network.unflat(np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]))
-    dealt.unpersist()
+        start.destroy()
+    shared.destroy()
     return voc, net
 
 

@@ -181,28 +181,27 @@ def test_lm_steps_do_not_change_scores(small_model, monkeypatch):
 
 def test_lm_training_beats_word_frequencies(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
-    voc, net = lm_score.fit(docs, every=2, docs_per_task=250)
+    voc, net = lm_score.fit(docs, docs_per_task=250)
     counts = lm_score.vocabulary(docs)[1]
     start = lm_score.Network.start(counts)
     start.parts["E"][:] = 0
     trained = lm_score.score(docs, model=(voc, net)).agg({"log_prob": "sum"}).first()[0]
     assert trained > lm_score.score(docs, model=(voc, start)).agg({"log_prob": "sum"}).first()[0]
-    again = lm_score.fit(docs, every=2, docs_per_task=250)[1]
+    again = lm_score.fit(docs, docs_per_task=250)[1]
     assert np.allclose(again.flat(), net.flat())
 
 
 def test_lm_awkward(spark):
-    got = lm_score.score(h.awkward(spark), every=1)
+    got = lm_score.score(h.awkward(spark))
     assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, *_ in h.AWKWARD)
     assert lm_score.score(h.empty(spark)).count() == 0
 
 
-def test_lm_trains_on_every_document(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(lm_score, "_numbers", lambda shared, plain=lm_score._numbers: (seen.append(1), plain(shared))[1])
-    lm_score.fit(h.awkward(spark, h.AWKWARD[:1]))  # a table of one document, whatever its hash
-    lm_score.fit(h.awkward(spark, h.AWKWARD[-1:]))
-    assert len(seen) == 2 and lm_score.EVERY == 1
+def test_lm_trains_on_every_document(spark):
+    for k in (0, -1):  # tables of one document, whatever its hash
+        docs = h.awkward(spark, [h.AWKWARD[k]])
+        net = lm_score.fit(docs)[1]
+        assert not np.allclose(net.flat(), lm_score.Network.start(lm_score.vocabulary(docs)[1]).flat())
 
 
 def test_lm_words_have_probabilities_of_their_own(spark, monkeypatch):
