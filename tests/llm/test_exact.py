@@ -326,18 +326,21 @@ def test_quality_rules_query(spark, sf_dir):
 
 
 def test_kneser_ney_sums_to_one_and_matches_a_plain_version(spark):
-    texts = [h.PROSE, h.PROSE[:40], "abcabcabd", "x"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    texts = [h.PROSE, h.PROSE[:40], "abcABCabd", "x", "Добрый день, добрый вечер \U0001f600 día"]
+    df = spark.createDataFrame([(t, "=en") for t in texts] + [(h.PROSE, "=de")], "text string, lang string")
     counts = Counter()
     for t in texts:
-        s = quality_rules._SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()
+        s = [ord(c) if ord(c) < 65536 else 0xD800 + ord(c) % 2048 for c in h.lower(t)]
         for k in range(len(s) - 3):
             counts[tuple(s[k : k + 4])] += 1
     size = quality_rules.SYMBOLS
     code = lambda g: sum(v * size ** (len(g) - 1 - k) for k, v in enumerate(g))
-    got = {r.code: r.n for r in quality_rules.counts(df).collect()}
+    got = {r.code % 2**64: r.n for r in quality_rules.counts(df).where("lang = '=en'").collect()}
     assert got == {code(g): n for g, n in counts.items()}
-    model = quality_rules.fit(df)
+    order, models = quality_rules.fit(df)
+    model = models["=en"]
+    assert order == 4 and sorted(models) == ["=de", "=en"]
+    assert quality_rules.fit(df, grams=100)[0] < 4
     levels = {4: dict(counts)}
     for n in (3, 2, 1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
@@ -355,10 +358,11 @@ def test_kneser_ney_sums_to_one_and_matches_a_plain_version(spark):
         return (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in after.values()) / total * prob(g[1:])
 
     for context in [(1, 2, 3), next(iter(counts))[:3], (9, 9, 9)]:
-        grams = np.array([code((*context, w)) for w in range(size)])
+        grams = np.array([code((*context, w)) for w in range(size)], np.uint64)
         p = np.exp(model.log_prob(grams))
         assert abs(p.sum() - 1) < 1e-9
-        assert np.allclose(p, [prob((*context, w)) for w in range(size)])
+        some = sorted({g[-1] for g in counts} | {0, 9, 500, size - 1})
+        assert np.allclose(p[some], [prob((*context, w)) for w in some])
 
 
 def test_quality_rules_awkward(spark):
@@ -368,6 +372,23 @@ def test_quality_rules_awkward(spark):
     assert quality_rules.judge(h.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["етаоинсрвлкм", "あいうえおかきくけこさし", "ابتثجحخدذرزس"])
+def test_quality_band_reads_other_scripts(spark, letters):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    good = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(100)]
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(80)) for _ in range(10)]
+    rows = quality_rules.judge(h.awkward(spark, [(k, t, "xx", None) for k, t in enumerate(good + junk)])).collect()
+    inside = {r.doc_id: r.in_band for r in rows}
+    assert not any(inside[k] for k in range(100, 110)) and sum(inside[k] for k in range(100)) >= 98
+    low, high = rows[0].low, rows[0].high
+    level = np.sort(np.log([r.perplexity for r in rows]))
+    half = min((level[k + 55] - level[k], level[k]) for k in range(55))  # the shorter half, plainly
+    middle, spread = half[1] + half[0] / 2, half[0] / (2 * 0.6745)
+    width = max(0.15, 3 * spread)
+    assert abs(np.log(low) - (middle - width)) < 0.05 and abs(np.log(high) - (middle + width)) < 0.05
+
+
 @pytest.mark.parametrize("share", [0.05, 0.2, 0.33])
 def test_quality_band_rejects_planted_junk(spark, share):
     rng = random.Random(12)
