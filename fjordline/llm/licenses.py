@@ -9,8 +9,9 @@ the mandatory wording is there exactly, word by word; the longest acceptance of
 each template from a place counts.
 
 Defined results: a null or empty text has no words and no match; places may
-overlap and are all reported; repeated documents are scanned each; an empty table
-gives an empty result.  A match never crosses the end of its text.
+overlap and are all reported; of templates that match the same words each is told; repeated
+documents are scanned each; a very long text is scanned whole; only id and text are read, so columns
+that clash are left alone; an empty table gives an empty result.  A match never crosses the end of its text.
 """
 
 from __future__ import annotations
@@ -48,13 +49,43 @@ NOTICES = (
     Template("mit-notice", "mit", "[[released]] [[licensed]] under the mit license"),
     Template("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software [[and associated documentation files]] [[the software]] to deal in the software without restriction"),
     Template("bsd-grant", "bsd", "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]"),
-    Template("cc-by-notice", "cc-by-4.0", "cc by {{1-1}} 0"),
+    Template("cc-by-4.0-notice", "cc-by-4.0", "[[licensed under]] cc by 4 0"),
+    Template("cc-by-3.0-notice", "cc-by-3.0", "[[licensed under]] cc by 3 0"),
+    Template("cc-by-2.5-notice", "cc-by-2.5", "[[licensed under]] cc by 2 5"),
+    Template("cc-by-2.0-notice", "cc-by-2.0", "[[licensed under]] cc by 2 0"),
+    Template("cc-by-1.0-notice", "cc-by-1.0", "[[licensed under]] cc by 1 0"),
     Template("cc-by-nc-notice", "cc-by-nc", "[[licensed under]] cc by nc [[{{1-1}} 0]]"),
     Template("cc-by-sa-notice", "cc-by-sa", "[[licensed under]] cc by sa [[{{1-1}} 0]]"),
     Template("gpl-3-notice", "gpl-3.0", "[[this work is]] [[licensed under the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]] [[or [[at your option]] any later version]]"),
     Template("gpl-2-notice", "gpl-2.0", "[[this work is]] [[licensed under the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]] [[or [[at your option]] any later version]]"),
     Template("mpl-notice", "mpl-2.0", "subject to the terms of the mozilla public license [[v]] [[version]] 2 0"),
     Template("copyright-notice", "copyright", "copyright [[c]] {{1-8}} all rights reserved"),
+    Template("mit-text", "mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+        sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+        fitness for a particular purpose and noninfringement in no event shall {{1-8}} be liable for any claim damages or other liability
+        whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""),
+    Template("isc-text", "isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and {{1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+        in no event shall {{1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""),
+    Template("bsd-text", "bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        [[ [[3]] neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission ]]
+        this software is provided by {{1-8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"""),
+    Template("apache-2.0-header", "apache-2.0", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0
+        unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"""),
+    Template("gpl-header", "gpl", """this program is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license
+        as published by the free software foundation either version {{1-2}} of the license or at your option any later version
+        this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"""),
+    Template("mpl-2.0-header", "mpl-2.0", """this source code form is subject to the terms of the mozilla public license v 2 0
+        if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"""),
 )
 
 _MARK = re.compile(r"\[\[|\]\]|\{\{(\d+)-(\d+)\}\}|[^\s\[\]{}]+")
@@ -94,6 +125,8 @@ class Automaton:
             self.final[at] = number
             starts.append(start)
         self.total = [len([m for m in _MARK.finditer(t.markup) if m[0] not in ("[[", "]]") and not m[1]]) for t in templates]
+        #: No match reads further than this many words from its start.
+        self.longest = max((len(_MARK.findall(t.markup)) + sum(int(m[2]) for m in _MARK.finditer(t.markup) if m[2]) for t in templates), default=0)
         self.vocabulary = np.array(sorted(int(tx.seed_of(w)) for w in self.words), np.uint64)
         #: Word numbers by place in the sorted vocabulary; 0 is any other word.
         by_hash = {int(tx.seed_of(w)): n for w, n in self.words.items()}
@@ -168,7 +201,7 @@ def _scan(templates: tuple[Template, ...], text_col: str, keep: list[str], schem
                 for at in begin.tolist():
                     r = int(w.row[at])
                     a, b = int(w.first[r]), int(w.first[r + 1])
-                    for t, end in sorted(auto.matches(numbers[at : min(b, at + LONGEST)].tolist()).items()):
+                    for t, end in sorted(auto.matches(numbers[at : min(b, at + auto.longest)].tolist()).items()):
                         template = templates[t]
                         own[r].append({"template": template.name, "label": template.label, "base": template.base, "start": at - a, "end": at - a + end, "fill": min(1.0, end / auto.total[t])})
                 counts += np.diff(w.first).tolist()
@@ -180,16 +213,11 @@ def _scan(templates: tuple[Template, ...], text_col: str, keep: list[str], schem
 
 _MATCHES = "array<struct<template string, label string, base boolean, start long, end long, fill double>>"
 _ARROW = pa.list_(pa.struct([("template", pa.string()), ("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("fill", pa.float64())]))
-#: No match reads further than this many words from its start; templates must be shorter.
-LONGEST = 256
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
     """Per row of docs: the id, n_words, and matches: every template found with its label, words [start, end) and
     the share of the template's words that the match holds (fill)."""
-    for t in templates:
-        if len(_MARK.findall(t.markup)) + sum(int(m[2]) for m in _MARK.finditer(t.markup) if m[2]) > LONGEST:
-            raise ValueError(f"{t.name}: longer than {LONGEST} words")
     small_batches(docs.sparkSession)
     narrow = docs.select(*dict.fromkeys([id_col, text_col]))
     schema = T.StructType([narrow.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("matches", T._parse_datatype_string(_MATCHES))])
