@@ -28,18 +28,21 @@ def buckets(rows: int) -> int:
 
 def interleave(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", source_col: str = "source", seed: int = 2024, tie: list[str] | None = None) -> DataFrame:
     """docs with `shard` (0 .. shards - 1) and `slot` (place in the shard, gapless from 0)."""
-    docs = docs.drop("shard", "slot", "_fj_s", "_fj_h", "_fj_b", "_fj_n", "_fj_r", "_fj_k", "_fj_off")
+    clash = {c: f"user{c}" for c in docs.columns if c.startswith("_fj_")}
+    if clash:
+        return interleave(docs.withColumnsRenamed(clash), shards, clash.get(id_col, id_col), clash.get(source_col, source_col), seed, [clash.get(t, t) for t in tie or []]).withColumnsRenamed({b: a for a, b in clash.items()})
+    docs = docs.drop("shard", "slot")
     total = docs.count()
     if not total:
         return docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     n_buckets = buckets(total)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    keyed = docs.withColumns({"_fj_s": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_fj_h": key})
+    keyed = docs.withColumns({"_fj_s": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_fj_h": key, "_fj_t": F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])})
     keyed = keyed.withColumn("_fj_b", F.expr(f"(cast(conv(substr(_fj_h, 1, 8), 16, 10) as bigint) * {n_buckets}L) div 4294967296L"))
     in_source = Window.partitionBy("_fj_s")
     counts = keyed.groupBy("_fj_s", "_fj_b").agg(F.count("*").alias("_fj_c"))
     counts = counts.select("_fj_s", "_fj_b", F.sum("_fj_c").over(in_source).alias("_fj_n"), F.coalesce(F.sum("_fj_c").over(in_source.orderBy("_fj_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_fj_off"))
-    own = Window.partitionBy("_fj_s", "_fj_b").orderBy("_fj_h", id_col, *(tie or []))
+    own = Window.partitionBy("_fj_s", "_fj_b").orderBy("_fj_h", id_col, *(tie or []), "_fj_t")
     ranked = keyed.withColumn("_fj_r", F.row_number().over(own)).join(counts, ["_fj_s", "_fj_b"]).withColumn("_fj_r", F.col("_fj_r") + F.col("_fj_off"))
     ranked = ranked.withColumn("_fj_k", F.expr(f"((2 * _fj_r - 1) * {n_buckets}L) div (2 * _fj_n)")).drop("_fj_off")
     # Rows of a source of n rows whose bucket is at most k: the r with (2 r - 1) * buckets < 2 n (k + 1).
