@@ -154,15 +154,16 @@ def _block(seed: int, last: bool):
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 2024, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """One row per document: the id, _fj_crc (of its text), size, source_size, target, copies, taken."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
-    rows = Table(docs.select(F.col(id_col).alias("uid"), name.alias("s"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"), word_count(F.col(text_col)).alias("size")))
+    rows = docs.select(F.col(id_col).alias("id"), name.alias("s"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("crc"), word_count(F.col(text_col)).alias("size"))
+    rows = Table(rows.withColumn("uid", F.xxhash64(F.lit(seed), "id", "crc")))  # ids of any type, null or not
     units = rows.df.groupBy("s", "uid", "crc", "size").agg(F.count("*").alias("m"))
     sources = Table(targets(rows.df.groupBy("s").agg(F.sum("size").alias("source_size"), F.count("*").alias("units")), share, most, weights))
     n_sources = sources.df.count()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = attach(units, sources.df, "s", rows=n_sources).withColumn("p", ratio - F.floor(ratio + 1e-12))
     drawn = drawn.withColumn("p", F.when(F.col("p") < 1e-12, 0.0).otherwise(F.col("p")))
-    drawn = drawn.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "uid", "crc"), F.ceil(F.col("units") / block)))
-    state = Table(drawn.select("s", "b", F.lit(-1).alias("idx"), F.col("uid").cast("long").alias("uid"), "crc", "size", "m", "p", (F.col("units") <= block).alias("alone")).groupBy("s", "b", "alone").applyInArrow(_block(seed, False), _STATE))
+    drawn = drawn.withColumn("b", F.pmod(F.xxhash64("uid"), F.ceil(F.col("units") / block)))
+    state = Table(drawn.select("s", "b", F.lit(-1).alias("idx"), "uid", "crc", "size", "m", "p", (F.col("units") <= block).alias("alone")).groupBy("s", "b", "alone").applyInArrow(_block(seed, False), _STATE))
     most_blocks = (sources.df.agg(F.max(F.ceil(F.col("units") / block))).first()[0]) or 1
     settled, width, tables = [], 1, []
     flying = state.df.where("p > 0 and p < 1")
@@ -182,10 +183,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     chosen = attach(state.df, done, ["s", "b", "idx"], "left").withColumn("p", F.coalesce("q", "p")).drop("q", "b", "idx", "m")
     chosen = attach(chosen, sources.df, "s", rows=n_sources).withColumn("copies", (F.floor(ratio + 1e-12) + F.col("p")).cast("long"))
     chosen = chosen.select("s", "uid", "crc", "size", "source_size", "target", "copies")
-    same = (rows.df["s"] == chosen["s"]) & rows.df["uid"].eqNullSafe(chosen["uid"]) & (rows.df["crc"] == chosen["crc"]) & (rows.df["size"] == chosen["size"])
+    same = (rows.df["s"] == chosen["s"]) & (rows.df["uid"] == chosen["uid"]) & (rows.df["crc"] == chosen["crc"]) & (rows.df["size"] == chosen["size"])
     small = chosen.count() <= BROADCAST_ROWS
     out = rows.df.join(F.broadcast(chosen) if small else chosen, same)
-    return out.select(rows.df["uid"].alias(id_col), rows.df["s"].alias("_fj_s"), rows.df["crc"].alias("_fj_crc"), rows.df["size"], "source_size", "target", "copies", (F.col("copies") * rows.df["size"]).alias("taken"))
+    return out.select(rows.df["id"].alias(id_col), rows.df["s"].alias("_fj_s"), rows.df["crc"].alias("_fj_crc"), rows.df["size"], "source_size", "target", "copies", (F.col("copies") * rows.df["size"]).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
