@@ -18,7 +18,8 @@ source and id are no inputs.
 Defined results: a null text is an empty one and gets the score of texts without
 hits; labels that are null or of unknown documents are left out; of repeated labels
 the largest counts; without labels of either kind every score is the share of toxic
-ones (0 without any); repeated rows are scored each; empty tables give empty results.
+ones (0 without any); a word as near to several terms matches each; repeated rows are scored each, and one row of an
+id teaches; a very long text is scored whole; columns that clash are left alone; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -43,6 +44,23 @@ LONGEST = 40  # longer words are no terms
 _QUOTES = np.isin(np.arange(256), list(b"\"'`"))
 
 
+def plain_marks(chunk: tx.Chunk) -> tx.Chunk:
+    """The chunk with curly and angle quotation marks as ASCII ones and spaces, byte for byte, and apostrophes (marks
+    between letters) as spaces, so that words end at marks and the marks left over quote."""
+    raw = np.concatenate([chunk.raw, np.zeros(3, np.uint8)])
+    for at in np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x80) & (raw[2:] >= 0x98) & (raw[2:] <= 0x9F)).tolist():
+        raw[at : at + 3] = (34 if raw[at + 2] >= 0x9C else 39, 32, 32)
+    for at in np.flatnonzero((raw[:-1] == 0xC2) & ((raw[1:] == 0xAB) | (raw[1:] == 0xBB))).tolist():
+        raw[at : at + 2] = (34, 32)
+    mark = np.flatnonzero(raw == 39)
+    letter = tx.ALNUM[tx.LOWER]
+    wide = np.where((raw[np.minimum(mark + 1, len(raw) - 1)] == 32) & (chunk.raw[mark] != 39), 3, 1)
+    ends = chunk.at[np.minimum(np.searchsorted(chunk.at, mark, "right"), len(chunk.at) - 1)]
+    inner = (mark > 0) & (mark + wide < ends) & letter[raw[mark - 1]] & letter[raw[np.minimum(mark + wide, len(raw) - 1)]]
+    raw[mark[inner]] = 32
+    return chunk._replace(raw=raw[:-3])
+
+
 class Lexicon:
     """The trie of the terms and its product with Levenshtein automata.  A term that ends in * is a stem."""
 
@@ -136,7 +154,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = batch.column(1).to_numpy()
         toxic: Counter = Counter()
         clean: Counter = Counter()
-        for chunk in tx.chunks(batch.column(0)):
+        for chunk in map(plain_marks, tx.chunks(batch.column(0))):
             w = tx.words(chunk)
             folded = tx.LOWER[chunk.raw].tobytes()
             for r in range(chunk.hi - chunk.lo):
@@ -179,11 +197,14 @@ class Hits:
 
     def scan(self, chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each hit: row, word in the text, term, edits, quoted, strength."""
+        chunk = plain_marks(chunk)
         w = tx.words(chunk)
         folded = tx.LOWER[chunk.raw]
         distinct, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.memo) > self.most:
             self.memo.clear()
+            if len(self.lexicon.states) > self.most:
+                self.lexicon = Lexicon(self.lexicon.terms)
         raw = folded.tobytes()
         found = np.zeros(len(distinct), bool)
         matches = {}
@@ -191,7 +212,7 @@ class Hits:
             got = self.memo.get(h)
             if got is None:
                 a, b = w.start[at], w.end[at]
-                got = self.memo[h] = self.lexicon.find(raw[a : min(b, a + 4 * LONGEST)].decode("utf-8", "replace"))
+                got = self.memo[h] = self.lexicon.find(raw[a : min(b, a + 4 * (LONGEST + 3))].decode("utf-8", "replace"))
             if got:
                 found[k] = True
                 matches[k] = got
@@ -202,11 +223,14 @@ class Hits:
         apart = 2 * WINDOW * w.row
         place, own = words + apart[words], word + apart[word]
         near = np.searchsorted(place, own + WINDOW, "right") - np.searchsorted(place, own - WINDOW) - 1
-        # Quoted: a quotation mark within the window on both sides, in the same text.
+        # Quoted: an odd number of marks before it in its text, and one within the window on both sides.
         marks = np.concatenate([[0], np.cumsum(_QUOTES[chunk.raw])])
         lo = np.maximum(word - WINDOW, w.first[row]) if len(word) else word
         hi = np.minimum(word + WINDOW, w.first[row + 1] - 1) if len(word) else word
-        quoted = (marks[w.start[word]] > marks[np.maximum(w.start[lo] - 1, 0)]) & (marks[np.minimum(w.end[hi] + 1, len(chunk.raw))] > marks[w.end[word]])
+        opened = (marks[w.start[word]] - marks[chunk.at[row]]) % 2 == 1
+        since = np.where(lo > w.first[row], w.end[np.maximum(lo - 1, 0)], chunk.at[row])
+        until = np.where(hi + 1 < w.first[row + 1], w.start[np.minimum(hi + 1, max(len(w.start) - 1, 0))], chunk.at[row + 1])
+        quoted = opened & (marks[w.start[word]] > marks[since]) & (marks[until] > marks[w.end[word]])
         strength = np.clip(1 + 0.25 * np.minimum(near, 4) - 0.75 * quoted, 0.1, 2.0) * np.array([1.0, 0.7, 0.5])[np.minimum(edits, 2)]
         return row, word - (w.first[row] if len(row) else 0), term, edits, quoted, strength
 
@@ -275,8 +299,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_toxic, n_clean = (min(sizes.get(k, 0), sample) for k in (True, False))
     if not n_toxic or not n_clean:
         return Model([], np.zeros(TOTALS), 30.0 if n_toxic else -30.0)
-    # At most 2 x sample ids: safe to broadcast.  Equal texts count once.
-    rows = docs.select(F.col(id_col).alias("_fj_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_fj_id").select("text", "_fj_y").dropDuplicates(["text"])
+    # At most 2 x sample ids: safe to broadcast.  Of rows of one id one teaches, the first by a hash; equal texts count once.
+    rows = docs.select(F.col(id_col).alias("_fj_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_fj_id")
+    rows = rows.groupBy("_fj_id").agg(F.min_by(F.struct("text", "_fj_y"), F.xxhash64("text")).alias("r")).select("r.text", "r._fj_y").groupBy("text").agg(F.max("_fj_y").alias("_fj_y"))
     counted = rows.mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = ((F.col("toxic") + 0.1) / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
     strong = counted.where((F.col("toxic") >= max(3, n_toxic // 200)) & (odds >= 6)).orderBy(F.desc(F.col("toxic") * F.log(odds)), "term").limit(terms)

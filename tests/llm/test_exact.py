@@ -171,6 +171,8 @@ def test_license_awkward(spark):
     assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == want
     by = {r.doc_id: r for r in got}
     assert by[50].labels == "cc-by,cc-by-nc,mit"
+    versions = spark.createDataFrame([(k, f"CC BY {v}.") for k, v in enumerate(("4.0", "3.0", "2.5", "9.0"))], "doc_id long, text string")
+    assert [r.labels for r in licenses.digest(licenses.scan(versions)).orderBy("doc_id").collect()] == ["cc-by,cc-by-4.0", "cc-by,cc-by-3.0", "cc-by,cc-by-2.5", "cc-by"]
     assert licenses.scan(h.empty(spark)).count() == 0
 
 
@@ -512,6 +514,17 @@ def test_mixing_in_several_levels(spark):
         assert abs(count[s] - n[s] * want / size) <= 12
 
 
+def test_mixing_by_ids_that_are_words(spark):
+    rows = [(f"id {k}" if k % 7 else None, h.PROSE + f" {k}" * (k % 5), None, "ab"[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    got = mixing.plan(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert sum(r.taken for r in got) > 0
+    again = mixing.plan(df.repartition(3)).collect()
+    key = lambda r: (r.doc_id or "", r["_fj_crc"], r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_cube_flight_keeps_its_totals():
     rng = np.random.default_rng(1)
     x, c = rng.integers(0, 50, 400).astype(float), np.ones(400)

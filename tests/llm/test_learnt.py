@@ -92,6 +92,37 @@ def test_quotation_weighs_less_than_abuse():
     assert edits[row == 3].tolist() == [1]
 
 
+def test_quotation_marks_of_all_kinds_and_no_apostrophes():
+    hits = toxicity.Hits(["stupid", "moron"])
+    texts = ["you're a stupid fool and i don't care", "you\u2019re a stupid fool and i don\u2019t care", "he wrote \u201cstupid\u201d there", "he wrote \u2018moron\u2019 there", "\u00abstupid\u00bb", 'not "this" stupid "that"', "it is 'stupid'", "next row"]
+    (chunk,) = tx.chunks(pa.array(texts))
+    row, word, _, edits, quoted, _ = hits.scan(chunk)
+    got = {int(r): bool(q) for r, q in zip(row, quoted, strict=True)}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: True, 5: False, 6: True} and not edits.any()
+    assert word[row == 2].tolist() == [2]
+
+
+def test_toxicity_is_its_parts_put_together_plainly(spark, sf_dir):
+    """The query's scores from the fitted model, by plain Python over hits."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    hits = toxicity.Hits(model.terms)
+    got = {r.doc_id: r.score for r in queries.op3_toxicity(spark, sf_dir).collect()}
+    n = len(model.terms)
+    for r in docs.collect():
+        found = []
+        for chunk in tx.chunks(pa.array([r.text or ""])):
+            found = list(zip(*(x.tolist() for x in hits.scan(chunk)[2:]), strict=True))
+        raw, total = model.bias, sum(s for *_, s in found)
+        for t in {f[0] for f in found}:
+            raw += model.weights[t] * np.log1p(sum(s for u, *_, s in found if u == t))
+        if found:
+            size = max(np.log1p(len((r.text or "").encode()) / 6), 1)
+            extra = [1, np.log1p(total), np.log1p(total) / size, sum(q for _, _, q, _ in found) / len(found), float(any(e == 0 for _, e, _, _ in found))]
+            raw += sum(model.weights[n + k] * v for k, v in enumerate(extra))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9, r.doc_id
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op3_toxicity(spark, BIG).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == h.held_out(r.doc_id) for r in rows)
