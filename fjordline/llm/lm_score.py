@@ -40,7 +40,7 @@ DIM = 16
 REACH = 2
 DOCS_PER_TASK = 4_000
 ROUNDS = 2
-STEP = 1 << 13
+STEP = 1 << 15
 RATE, BATCH, FLOOR = 0.1, 8192, 1e-6
 _SHAPES = {"E": (VOCABULARY, DIM), "P": (2 * REACH, DIM), "b": (DIM,), "C": (DIM, SIDE), "c": (SIDE,), "W": (SIDE, DIM, SIDE), "w": (SIDE, SIDE)}
 _BLOCK = 2_048
@@ -235,19 +235,31 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, np.
     return voc, total
 
 
-def _numbers(shared):
+def _encode(shared):
+    """Texts as numbers, two bytes a word, with the words that share numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc: Vocabulary = shared.value
         for batch in batches:
-            out = []
             for chunk in tx.chunks(batch.column(1)):
                 w = tx.words(chunk)
-                number = shared.value.numbers(w.hash).astype(np.int16)
-                out += [number[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["k", "numbers"])
+                number = voc.numbers(w.hash)
+                small = number.astype(np.int16)
+                out = [small[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(out, pa.binary()), _others(w, number, voc.shares is not None)], names=["id", "numbers", "others"])
 
     return run
 
 
+def encode(docs: DataFrame, voc: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> Table:
+    """row, id, numbers, others (h, times) of each row of docs, written: training and scoring read it."""
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, numbers binary, others array<struct<h: long, times: long>>"
+    rows = Table(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(_encode(shared), kinds).withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
+    return rows
+
+
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words, part = Network.unflat(shared.value.copy()), 0, 0
@@ -286,14 +298,10 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "part": pa.array([0], pa.int64()), "weight": pa.array([weight]), "values": pa.array([mean.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_task: int = DOCS_PER_TASK, rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Each document trains in one of the rounds, those of a round in as many tasks as their number asks for."""
-    sc = docs.sparkSession.sparkContext
-    small_batches(docs.sparkSession)
-    voc, counts = vocabulary(docs, text_col)
-    shared = sc.broadcast(voc)
-    # Texts of one id may be many: the deal goes by text as well.
-    keyed = docs.select(F.xxhash64(F.lit(1), id_col, text_col).alias("k"), text_col)
+def learn(rows: DataFrame, counts: np.ndarray, docs_per_task: int = DOCS_PER_TASK, rounds: int = ROUNDS) -> Network:
+    """The network trained on encoded rows: each in one of the rounds, those of a round in as many tasks as their number asks for."""
+    sc = rows.sparkSession.sparkContext
+    keyed = rows.select(F.xxhash64(F.lit(1), "id", "numbers").alias("k"), "numbers")
     turn = F.pmod(F.shiftright("k", 8), F.lit(rounds))
     sizes = dict(keyed.groupBy(turn.alias("turn")).count().collect())
     net = Network.start(counts)
@@ -303,31 +311,44 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_pe
         if not tasks:
             continue
         # Sorted, so that a lost task repeats itself.
-        dealt = keyed.where(turn == k).mapInArrow(_numbers(shared), "k long, numbers binary").repartition(tasks, "k").sortWithinPartitions("k", "numbers")
+        dealt = keyed.where(turn == k).repartition(tasks, "k").sortWithinPartitions("k", "numbers")
         start = sc.broadcast(net.flat())
         parts = dealt.mapInArrow(_train(start), schema)
         mean = parts.groupBy("block", "part").applyInArrow(_average, schema).groupBy("block").applyInArrow(_average, schema)
-        rows = sorted(mean.collect(), key=lambda r: r["block"])  # one network: 136,000 numbers
-        if rows:
-            net = Network.unflat(np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]))
+        found = sorted(mean.collect(), key=lambda r: r["block"])  # one network: 136,000 numbers
+        if found:
+            net = Network.unflat(np.concatenate([np.frombuffer(r["values"], np.float32) for r in found]))
         start.destroy()
-    shared.destroy()
+    return net
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of all texts."""
+    small_batches(docs.sparkSession)
+    voc, counts = vocabulary(docs, text_col)
+    rows = encode(docs, voc, id_col, text_col)
+    net = learn(rows.df, counts, **options)
+    rows.drop()
     return voc, net
 
 
+def summed(number: np.ndarray, first: np.ndarray, net: Network) -> np.ndarray:
+    """The summed log-probability of each text, the numbers of all being end to end."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    ctx = contexts(number, first, row)
+    lp = np.concatenate([np.zeros(0, np.float32), *(net.log_prob(ctx[a : a + STEP], number[a : a + STEP]) for a in range(0, len(number), STEP))])
+    return np.bincount(row, weights=lp.astype(float), minlength=len(first) - 1).astype(float)
+
+
 def measure(chunk: tx.Chunk, voc: Vocabulary, net: Network) -> tuple[np.ndarray, np.ndarray]:
     """Words and summed log-probability of each row."""
     w = tx.words(chunk)
-    number = voc.numbers(w.hash)
-    ctx = contexts(number, w.first, w.row)
-    lp = np.concatenate([np.zeros(0, np.float32), *(net.log_prob(ctx[a : a + STEP], number[a : a + STEP]) for a in range(0, len(number), STEP))])
-    return np.diff(w.first), np.bincount(w.row, weights=lp.astype(float), minlength=len(w.first) - 1).astype(float)
+    return np.diff(w.first), summed(voc.numbers(w.hash), w.first, net)
 
 
-def _others(chunk: tx.Chunk, voc: Vocabulary) -> pa.Array:
-    """Each row's words that share numbers: (h, times)."""
-    w = tx.words(chunk)
-    at = np.flatnonzero(voc.numbers(w.hash) >= OWN)
+def _others(w: tx.Words, number: np.ndarray, tell: bool) -> pa.Array:
+    """Each row's words that share numbers: (h, times); none if nobody asks."""
+    at = np.flatnonzero(number >= OWN) if tell else np.zeros(0, np.int64)
     order = at[np.lexsort((w.hash[at], w.row[at]))]
     row, hashes = w.row[order], w.hash[order]
     head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])])) if len(order) else np.zeros(0, np.int64)
@@ -338,42 +359,42 @@ def _others(chunk: tx.Chunk, voc: Vocabulary) -> pa.Array:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = shared.value
-        net = Network.unflat(flat)
+        net = Network.unflat(shared.value)
         for batch in batches:
-            for chunk in tx.chunks(batch.column(1)):
-                n, total = measure(chunk, voc, net)
-                own = [batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo), pa.array(n.astype(np.int64)), pa.array(total)]
-                names = ["id", "n_words", "log_prob"]
-                if voc.shares is not None:
-                    own, names = [*own, _others(chunk, voc)], [*names, "others"]
-                yield pa.RecordBatch.from_arrays(own, names=names)
+            texts = [np.frombuffer(v.as_buffer(), np.int16) for v in batch.column(2)]
+            size = np.array([len(t) for t in texts], np.int64)
+            total = np.zeros(len(texts))
+            ends, lo = np.cumsum(size), 0
+            while lo < len(texts):  # texts of about a step together
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + STEP, "right")))
+                first = np.concatenate([[0], np.cumsum(size[lo:hi])])
+                total[lo:hi] = summed(np.concatenate(texts[lo:hi]).astype(np.int32), first, net)
+                lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total)], names=["row", "id", "n_words", "log_prob"])
 
     return run
 
 
-def _split(scored: DataFrame, voc: Vocabulary) -> DataFrame:
+def _split(scored: DataFrame, rows: DataFrame, voc: Vocabulary) -> DataFrame:
     """scored with the words' shares of their numbers: n of a number's total + 1, the one being what wasn't counted."""
     spark = scored.sparkSession
-    rows = Table(scored.withColumn("row", F.monotonically_increasing_id())).df
     totals = spark.createDataFrame([(k, float(n)) for k, n in enumerate(voc.totals)], "b int, total double")  # one row per shared number
     words = rows.select("row", F.explode("others").alias("o")).select("row", "o.h", "o.times")
     counted = attach(words, spark.read.schema("h long, n long").parquet(voc.shares), "h", "left").withColumn("b", _bucket("h")).join(F.broadcast(totals), "b")
     share = F.col("times") * (F.log(F.coalesce("n", F.lit(1))) - F.log(F.col("total") + 1))
     sums = counted.groupBy("row").agg(F.sum(share).alias("share"))
-    return rows.drop("others").join(sums, "row", "left").select("id", "n_words", (F.col("log_prob") + F.coalesce("share", F.lit(0.0))).alias("log_prob"))
+    return scored.join(sums, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("share", F.lit(0.0)))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, Network] | None = None, **options) -> DataFrame:
     """Per row of docs: the id, n_words, log_prob (summed over its words), mean_log_prob, pseudo_perplexity.  Without a model, one is fitted on docs."""
     small_batches(docs.sparkSession)
-    voc, net = model or fit(docs, id_col, text_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast((voc, net.flat()))
-    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double"
-    narrow = docs.select(F.col(id_col).alias("id"), text_col)
-    if voc.shares is None:
-        rows = narrow.mapInArrow(_score(shared), kinds)
-    else:
-        rows = _split(narrow.mapInArrow(_score(shared), f"{kinds}, others array<struct<h: long, times: long>>"), voc)
+    voc, counts = (model[0], None) if model else vocabulary(docs, text_col)
+    rows = encode(docs, voc, id_col, text_col).df
+    net = model[1] if model else learn(rows, counts, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(net.flat())
+    scored = rows.select("row", "id", "numbers").mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_words long, log_prob double")
+    if voc.shares is not None:
+        scored = _split(scored, rows, voc)
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return rows.select(F.col("id").alias(id_col), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))
+    return scored.select(F.col("id").alias(id_col), "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("pseudo_perplexity"))

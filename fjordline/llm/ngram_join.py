@@ -365,7 +365,7 @@ def partial_overlaps(jobs: DataFrame, sets: DataFrame, fragments: int = FRAGMENT
     grams, count = jobs.agg(F.sum("n"), F.count("*")).first()
     sides = jobs.groupBy("a", "b", "c").agg((F.count_if(F.col("role") != 1) * F.count_if(F.col("role") != 0)).alias("cells"))
     cells = sides.agg(F.sum("cells")).first()[0] or 0
-    buckets = 1 + max((grams or 0) // (fragments * BLOCK_GRAMS), cells // BLOCK_SETS**2)
+    buckets = 8 + max((grams or 0) // (fragments * BLOCK_GRAMS), 4 * cells // BLOCK_SETS**2)
     dealt = attach(sets.select("sid", "grams"), jobs.withColumn("bucket", F.pmod(F.xxhash64("a", "b", "c"), F.lit(buckets))), "sid", rows=count)
     pieces = dealt.mapInArrow(_segments(fragments), "frag long, bucket long, a long, b long, c long, role byte, sid long, n long, seg binary")
     return pieces.groupBy("bucket", "frag").applyInArrow(_partial, "bucket long, a long, b long, c long, rows binary, cols binary, counts binary")
