@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fjordline.operators.prepare import join_keys
+
 from fjordline.operators.series import p_value
 
 
@@ -56,7 +58,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 25) -> Dat
     """(keys, bin, count, density, left, right): equal bins from the least to the largest value of a key, the last one closed."""
     rows = df.where(F.col(value).isNotNull())
     ends = rows.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("_n"))
-    joined = rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))  # one row of ends without keys
+    joined = join_keys(rows, ends, keys) if keys else rows.crossJoin(F.broadcast(ends))  # one row of ends without keys
     width = (F.col("_b") - F.col("_a")) / bins
     k = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_a")) / width))).otherwise(F.lit(0)).cast("long")
     counted = joined.groupBy(*keys, "_a", "_b", "_n", k.alias("bin")).agg(F.count("*").alias("count"))

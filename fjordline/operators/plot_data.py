@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.functions.kernels import z_score
-from fjordline.operators import diagnose
+from fjordline.operators import diagnose, prepare
 from fjordline.operators.series import SeriesSpec, with_bands
 from fjordline.plans.model import StateSpaceModel
 
@@ -49,7 +49,7 @@ def forecast(filtered: DataFrame, ahead: DataFrame, spec: SeriesSpec, component:
     past = history.select(*spec.keys, (F.col("t") - 1).alias("x"), none.alias("level"), F.lit("history").alias("kind"), "mean", none.alias("lower"), none.alias("upper"))
     sizes = filtered.groupBy(*spec.keys).agg(F.max("t").alias("n"))
     rows = ahead.where(F.col("component") == component)
-    rows = rows.join(sizes, list(spec.keys)) if spec.keys else rows.crossJoin(F.broadcast(sizes))  # one row of sizes without keys
+    rows = prepare.join_keys(rows, sizes, list(spec.keys)) if spec.keys else rows.crossJoin(F.broadcast(sizes))  # one row of sizes without keys
     bands = F.explode(F.array(*[F.struct(F.lit(float(v)).alias("level"), F.lit(z_score(v)).alias("z")) for v in sorted(levels, reverse=True)]))
     rows = rows.select("*", bands.alias("b"))
     half = F.col("b.z") * F.sqrt("variance")

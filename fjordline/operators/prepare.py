@@ -16,7 +16,16 @@ def fill_gaps(df: DataFrame, keys: list[str], unit: str, ts: str = "ts") -> Data
     step = F.expr({"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}[unit])
     ends = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
     calendar = ends.select(*keys, F.explode(F.sequence("_a", "_b", step)).alias(ts))
-    return calendar.join(df, [*keys, ts], "left")
+    return join_keys(calendar, df, [*keys, ts], "left")
+
+
+def join_keys(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal, as they are in groups; the columns of `on` are told once, those of left."""
+    other = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
 
 
 def number_rows(df: DataFrame, keys: list[str], ts: str = "ts", to: str = "t") -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -328,6 +328,17 @@ def with_bands(df: DataFrame, mean: str, variance: str, level: float = 0.95, low
 _STEPS = {"ME": 1, "M": 1, "QE": 3, "Q": 3, "YE": 12, "Y": 12}
 
 
+def infer_freq(df: DataFrame, spec: SeriesSpec) -> str | None:
+    """D, W, ME, QE or YE by the median gap of dates within the series; None without dates or for other gaps."""
+    if spec.ts not in df.columns or not isinstance(df.schema[spec.ts].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return None
+    order = Window.partitionBy(*spec.keys).orderBy(spec.ts)
+    gap = F.datediff(spec.ts, F.lag(spec.ts).over(order))
+    days = df.select(gap.alias("d")).agg(F.percentile_approx("d", 0.5, 1000)).first()[0]
+    spans = {"D": (1, 1), "W": (7, 7), "ME": (28, 31), "QE": (89, 92), "YE": (365, 366)}
+    return next((f for f, (a, b) in spans.items() if days is not None and a <= days <= b), None)
+
+
 def continue_dates(last, h, freq: str | None):
     """The h-th date after `last`: D and W add days; ME, QE and YE go from month end to month end."""
     if freq is None:

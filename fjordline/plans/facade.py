@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjordline.operators import diagnose, plot_data
-from fjordline.operators.series import SeriesSpec, fit_mle_series, filter_series, forecast_series, last_state, smooth_series, summary_series
+from fjordline.operators.series import SeriesSpec, fit_mle_series, filter_series, forecast_series, infer_freq, last_state, smooth_series, summary_series
 from fjordline.plans.model import GaussianState, StateSpaceModel
 
 
@@ -38,7 +38,7 @@ class SparkDLM:
         return self._smoothed
 
     def fit(self, df: DataFrame, spec: SeriesSpec, initial_state: GaussianState | None = None, freq: str | None = None) -> SparkDLM:
-        """Filters; forgets earlier smoothing and forecasts.  freq (D, W, ME, QE, YE) dates the forecasts."""
+        """Filters; forgets earlier smoothing and forecasts.  freq (D, W, ME, QE, YE) dates the forecasts; without, it is that of the median gap."""
         self._clear()
         self._df, self._spec, self._prior, self._freq = df, spec, initial_state, freq
         self._filtered = filter_series(df, spec, self._model, initial_state)
@@ -52,6 +52,8 @@ class SparkDLM:
     def forecast(self, steps: int = 1) -> DataFrame:
         """keys, h, ts, component, mean, lower_95, upper_95."""
         self.filter_result  # noqa: B018
+        if self._freq is None:
+            self._freq = infer_freq(self._df, self._spec)
         got = forecast_series(self._df, self._spec, self._model, steps, self._prior, self._freq)
         self._forecast = got.withColumnsRenamed({"lower": "lower_95", "upper": "upper_95"})
         return self._forecast

@@ -29,6 +29,9 @@ CONTROLLED = StateSpaceModel([[1.0]], [[0.5]], [[900.0]], [[400.0]], [[2.0]])
 USERS = local_level(1.0, 5.0)
 WAVE = NonlinearSSM(lambda x: x + 0.1 * np.sin(x), lambda x: x, [[0.5]], [[1.0]], 1, 1)
 PLANE = NonlinearSSM(lambda x: 0.99 * x, lambda x: x, np.eye(2) * 0.1, np.eye(2), 2, 2)
+AIRLINE = local_linear_trend(20.0, 2.0, 30.0) + seasonal(12, 10.0, 0.0)
+FOURIER = seasonal(6, 20.0, 30.0, "fourier")
+TWICE = StateSpaceModel([[1.0], [1.0]], [[1.0]], [[900.0, 0.0], [0.0, 400.0]], [[400.0]])
 BY_FLAG, BY_USER, BY_TYPE = SeriesSpec("g"), SeriesSpec("g"), SeriesSpec("g")
 
 
@@ -224,16 +227,31 @@ def ukf_scalar(spark, sf_dir):
 def ukf_plane(spark, sf_dir):
     rows = daily(spark, sf_dir, "event_type").withColumn("y2", F.col("y") * 0.5)
     got = nonlinear_series(rows, SeriesSpec("g", y=("y", "y2")), PLANE, "ukf", outputs=("filt_mean", "ll"), alpha=1.0, sigma="columns")
-    return got.select("g", "t", F.round(F.col("filt_mean")[0], 6).alias("m0"), F.round(F.col("filt_mean")[1], 6).alias("m1"), F.round("ll", 6).alias("ll"))
+    return got.select("g", "t", F.round(F.col("filt_mean")[0], 4).alias("m0"), F.round(F.col("filt_mean")[1], 4).alias("m1"), F.round("ll", 4).alias("ll"))
 
 
-def em_step_once(spark, sf_dir):
-    rows = fold.level_rows(flags(spark, sf_dir), ["g"], LEVEL, smooth=True)
-    from pyspark.sql import Window
+def airline_model_filter(spark, sf_dir):
+    """Trend and twelve seasons: 13 states."""
+    got = filter_series(flags(spark, sf_dir), BY_FLAG, AIRLINE, outputs=("filt_mean", "ll"))
+    return got.select("g", "t", F.round(F.col("filt_mean")[0], 2).alias("level"), F.round(F.col("filt_mean")[0] + F.col("filt_mean")[2], 2).alias("signal"), F.round("ll", 3).alias("ll"))
+
+
+def fourier_filter(spark, sf_dir):
+    got = filter_series(flags(spark, sf_dir), BY_FLAG, FOURIER, outputs=("filt_mean", "ll"))
+    mean = F.col("filt_mean")
+    return got.select("g", "t", F.round(mean[0] + mean[2] + mean[4], 3).alias("signal"), F.round(mean[1], 3).alias("other"), F.round("ll", 3).alias("ll"))
+
+
+def bivariate_filter(spark, sf_dir):
+    rows = flags(spark, sf_dir).withColumn("y2", F.col("y") + 10 * F.month("ts"))
+    got = filter_series(rows, SeriesSpec("g", y=("y", "y2")), TWICE, outputs=("filt_mean", "filt_cov", "ll"))
+    return got.select("g", "t", F.round(F.col("filt_mean")[0], 4).alias("m0"), F.round(F.col("filt_cov")[0][0], 4).alias("c00"), F.round("ll", 4).alias("ll"))
+
 
-    order = Window.partitionBy("g").orderBy("t")
-    rows = rows.select("g", (F.pow(F.col("y") - F.col("s"), 2) + F.col("p")).alias("v"), (F.pow(F.col("s") - F.lag("s").over(order), 2) + F.col("p") + F.lag("p").over(order)).alias("w"))
-    return rows.groupBy("g").agg(F.round(F.avg("v"), 4).alias("v"), F.round(F.avg("w"), 4).alias("w"))
+def em_step_once(spark, sf_dir):
+    got = fit_em_series(flags(spark, sf_dir), BY_FLAG, LEVEL, 1, 0.0, "approx")
+    model = F.from_json("model", "F array<array<double>>, V array<array<double>>, W array<array<double>>")
+    return got.select("g", F.round(model["V"][0][0], 4).alias("v"), F.round(model["W"][0][0], 4).alias("w"))
 
 
 def _scale(p):
@@ -356,6 +374,29 @@ _UKF = f"""{_NONLINEAR_HEAD}, kf AS (SELECT DISTINCT g, 0::BIGINT t, 0::DOUBLE m
 _BANDS = ", ".join(f"round(mean {sign} {z_score(v / 100)!r} * sqrt(variance), 4) {side}_{v}" for v in (50, 80, 95) for sign, side in (("-", "lower"), ("+", "upper")))
 _CHI = " + ".join(f"(lb_q / 2) ^ {i} / {math.factorial(i)}.0" for i in range(5))
 
+_STEP_LL3 = "round(-0.5 * (ln(2 * pi()) + ln(q) + e * e / q), 3)"
+_BIVARIATE = f"""WITH RECURSIVE src AS (SELECT *, y + 10 * month(ts) y2 FROM ({_FLAGS})), o AS (SELECT g, y, y2, row_number() OVER (PARTITION BY g ORDER BY ts) t FROM src),
+    kf AS (SELECT DISTINCT g, 0::BIGINT t, 0::DOUBLE m, 1e6::DOUBLE c, 0::DOUBLE ll FROM o UNION ALL
+      SELECT g, t, m1 + c1 / (c1 + 400) * (y2 - m1), c1 - c1 * c1 / (c1 + 400), ll - 0.5 * (ln(2 * pi()) + ln(c1 + 400) + (y2 - m1) ^ 2 / (c1 + 400)) FROM
+        (SELECT g, t, y2, m + r / (r + 900) * (y - m) m1, r - r * r / (r + 900) c1, -0.5 * (ln(2 * pi()) + ln(r + 900) + (y - m) ^ 2 / (r + 900)) ll FROM
+          (SELECT kf.g, o.t, o.y, o.y2, kf.m, kf.c + 400 r FROM kf JOIN o ON o.g = kf.g AND o.t = kf.t + 1)))
+    SELECT g, t, round(m, 4) m0, round(c, 4) c00, round(ll, 4) ll FROM kf WHERE t > 0"""
+#: A linear model of two states that don't touch: what the unscented filter must give is two plain filters.
+_SHRINK = StateSpaceModel([[1.0]], [[0.99]], [[1.0]], [[0.1]])
+_SHRINK_LL = "CASE WHEN y IS NULL THEN 0 ELSE -0.5 * (ln(2 * pi()) + ln(q) + e * e / q) END"
+_PLANE = f"""SELECT a.g, a.t, round(a.m, 4) m0, round(b.m, 4) m1, round(a.l + b.l, 4) ll FROM
+    ({_filter_sql(_days("event_type"), _SHRINK)} SELECT g, t, m0 m, {_SHRINK_LL} l FROM kf WHERE t > 0) a JOIN
+    ({_filter_sql(f'SELECT g, ts, y * 0.5 y FROM ({_days("event_type")})', _SHRINK)} SELECT g, t, m0 m, {_SHRINK_LL} l FROM kf WHERE t > 0) b ON a.g = b.g AND a.t = b.t"""
+_PACF = f"""WITH RECURSIVE flags AS ({_FLAGS}){_ACF}, l AS (SELECT g, list(acf ORDER BY lag) FILTER (lag > 0) r FROM r GROUP BY g),
+    d AS (SELECT g, 1 k, [r[1]] phi, r FROM l UNION ALL
+      SELECT g, k + 1, list_concat(list_transform(range(1, k + 1), lambda j: phi[j] - a * phi[k + 1 - j]), [a]), r FROM
+        (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) a FROM d WHERE k < 20))
+    SELECT g, k::INTEGER lag, round(phi[k], 6) pacf FROM d UNION ALL SELECT DISTINCT g, 0::INTEGER, 1.0::DOUBLE FROM l"""
+_NILE_MODEL = local_level(38.0, 123.0)
+_NILE_ROWS = " UNION ALL ".join(f"SELECT 'nile' g, make_date({1871 + k}, 1, 1)::TIMESTAMP ts, {v}.0::DOUBLE y" for k, v in enumerate(datasets.NILE))
+_NILE = f"""{_filter_sql(_NILE_ROWS, _NILE_MODEL)}, z AS (SELECT m0, c00 FROM kf WHERE t = 100), f AS (SELECT h::INTEGER h, m0 mean, sqrt(c00 + h * {38.0**2} + {123.0**2}) sd FROM z, (SELECT unnest(range(1, 11)) h))
+    SELECT h, make_date((1970 + h)::INTEGER, 12, 31) ts, round(mean, 6) mean, round(mean - {z_score(0.95)!r} * sd, 6) lower_95, round(mean + {z_score(0.95)!r} * sd, 6) upper_95 FROM f"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "series_resample_month": (series_resample_month, _FLAGS),
     "series_gap_fill": (series_gap_fill, f"SELECT g, ts, round(y, 6) y FROM ({_days('user_id')})"),
@@ -367,6 +408,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "ar1_filter": (ar1_filter, _final_sql(_FLAGS, AR1)),
     "cycle_filter": (cycle_filter, _final_sql(_FLAGS, CYCLE)),
     "seasonal_quarter_filter": (seasonal_quarter_filter, _final_sql(_FLAGS, QUARTER)),
+    "airline_model_filter": (airline_model_filter, f"{_filter_sql(_FLAGS, AIRLINE)} SELECT g, t, round(m0, 2) AS level, round(m0 + m2, 2) signal, {_STEP_LL3} ll FROM kf WHERE t > 0"),
+    "fourier_filter": (fourier_filter, f"{_filter_sql(_FLAGS, FOURIER)} SELECT g, t, round(m0 + m2 + m4, 3) signal, round(m1, 3) other, {_STEP_LL3} ll FROM kf WHERE t > 0"),
+    "bivariate_filter": (bivariate_filter, _BIVARIATE),
     "regression_static": (regression_static, _final_sql(_FLAGS, CONSTANT)),
     "superposition_level_ar1": (superposition_level_ar1, _final_sql(_FLAGS, LEVEL_AR1)),
     "control_input_filter": (control_input_filter, _final_sql(_FLAGS, CONTROLLED, "month(o.ts)")),
@@ -388,19 +432,19 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         FROM kf WHERE t > 0 GROUP BY g"""),
     "residual_acf": (residual_acf, f"WITH flags AS ({_FLAGS}){_ACF} SELECT g, lag, round(acf, 6) acf, n FROM r"),
     "ljung_box": (ljung_box, f"WITH flags AS ({_FLAGS}){_ACF}, l AS (SELECT g, n * (n + 2) * sum(acf * acf / (n - lag)) lb_q FROM r WHERE lag BETWEEN 1 AND 10 GROUP BY g, n) SELECT g, round(lb_q, 4) lb_q, round(exp(-lb_q / 2) * ({_CHI}), 8) lb_p FROM l"),
-    "residual_pacf": (residual_pacf, None),
+    "residual_pacf": (residual_pacf, _PACF),
     "qq_points": (qq_points, f"SELECT g, i, n, round(y, 6) sample, round((i - 0.5) / n, 9)::DOUBLE prob FROM (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY y) i, count(*) OVER (PARTITION BY g) n FROM ({_FLAGS}))"),
     "histogram": (histogram, f"""SELECT g, bin, count(*) count, round(count(*) / (any_value(n) * any_value(w)), 9) density, round(any_value(a) + bin * any_value(w), 6) "left", round(any_value(a) + (bin + 1) * any_value(w), 6) "right" FROM
         (SELECT g, a, n, w, least(24, floor((y - a) / w))::BIGINT bin FROM (SELECT *, (b - a) / 25 w FROM (SELECT g, y, min(y) OVER (PARTITION BY g) a, max(y) OVER (PARTITION BY g) b, count(*) OVER (PARTITION BY g) n FROM ({_FLAGS})))) GROUP BY g, bin"""),
     "batch_filter_by_user": (batch_filter_by_user, f"{_filter_sql(_days('user_id'), USERS)} SELECT g, t n_obs, round(ll, 4) ll, round(m0, 6) m0, round(c00, 6) c00 FROM kf WHERE t > 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY t DESC) = 1"),
     "ekf_scalar": (ekf_scalar, _EKF),
     "ukf_scalar": (ukf_scalar, _UKF),
-    "ukf_plane": (ukf_plane, None),
+    "ukf_plane": (ukf_plane, _PLANE),
     "em_step_once": (em_step_once, f"{_SMOOTH}, d AS (SELECT g, (y - s) ^ 2 + p v, (s - lag(s) OVER z) ^ 2 + p + lag(p) OVER z w FROM s WINDOW z AS (PARTITION BY g ORDER BY t)) SELECT g, round(avg(v), 4) v, round(avg(w), 4) w FROM d GROUP BY g"),
     "mle_by_flag": (mle_by_flag, None),
     "mle_pooled": (mle_pooled, None),
     "em_by_flag": (em_by_flag, None),
-    "nile_forecast": (nile_forecast, None),
+    "nile_forecast": (nile_forecast, _NILE),
     "plot_panel": (plot_panel, None),
     "plot_components": (plot_components, None),
 }

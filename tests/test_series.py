@@ -265,3 +265,31 @@ def test_stream_is_the_batch_filter(spark, tmp_path):
         want = k.kalman_scan(m, np.array([[[v] for kk, _, v in rows if kk == key]]))
         own = sorted((r.ts, r.mean, r.variance, r.cum_ll) for r in out if r["key"] == key and not r.late)
         assert np.allclose([v[1] for v in own], want.filt_mean[0, :, 0]) and np.allclose([v[3] for v in own], np.cumsum(want.ll[0]))
+
+
+def test_null_keys_keep_their_values(spark):
+    import datetime as dt
+
+    from fjordline.operators import diagnose, prepare
+
+    day = lambda k: dt.datetime(2020, 1, k)
+    rows = [(None, day(1), 1.0), (None, day(4), 4.0), ("a", day(2), 2.0), ("a", day(3), 3.0)]
+    df = spark.createDataFrame(rows, "g string, ts timestamp, y double")
+    got = {(r.g, r.ts.day): r.y for r in prepare.fill_gaps(df, ["g"], "day").collect()}
+    assert got == {(None, 1): 1.0, (None, 2): None, (None, 3): None, (None, 4): 4.0, ("a", 2): 2.0, ("a", 3): 3.0}
+    bins = diagnose.histogram(df, ["g"], "y", 2).groupBy("g").sum("count").collect()
+    assert {r[0]: r[1] for r in bins} == {None: 2, "a": 2}
+
+
+def test_frequency_is_that_of_the_median_gap(spark):
+    import datetime as dt
+
+    from fjordline.operators.series import SeriesSpec, infer_freq
+    from fjordline.sources import datasets
+
+    assert infer_freq(datasets.load_nile(spark), SeriesSpec((), "ts", "nile_flow")) == "YE"
+    assert infer_freq(datasets.load_airline(spark), SeriesSpec((), "ts", "y")) == "ME"
+    for step, want in ((1, "D"), (7, "W"), (90, "QE"), (3, None)):
+        df = spark.createDataFrame([("a", dt.date(2020, 1, 1) + dt.timedelta(step * k), 1.0) for k in range(5)], "g string, ts date, y double")
+        assert infer_freq(df, SeriesSpec("g")) == want
+    assert infer_freq(spark.createDataFrame([("a", 1, 1.0)], "g string, ts int, y double"), SeriesSpec("g")) is None
