@@ -89,9 +89,9 @@ def shingles(text, n=3):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def components(docs, num=90, den=100):
+def components(docs, num=90, den=100, n=3):
     """doc_id -> smallest id reachable by links."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, n) for i, t in docs}
     parent = {i: i for i in sets}
 
     def root(x):
@@ -103,8 +103,8 @@ def components(docs, num=90, den=100):
     holders = defaultdict(list)
     for i in ids:
         both = Counter(j for g in sets[i] for j in holders[g])
-        for j, n in both.items():
-            if den * n >= num * (len(sets[i]) + len(sets[j]) - n):
+        for j, k in both.items():
+            if den * k >= num * (len(sets[i]) + len(sets[j]) - k):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
         for g in sets[i]:
