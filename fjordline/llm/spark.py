@@ -34,7 +34,7 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -
     """Keeps Arrow batches of texts small, in the JVM as in the workers: at most so many rows and bytes, unless the session asks for fewer."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
-        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(key, str(most)).strip().lower()).groups()
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(key).strip().lower()).groups()
         now = int(number) * _UNITS.get(unit[:1], 1)
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
