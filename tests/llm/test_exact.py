@@ -14,6 +14,7 @@ import pytest
 
 from fjordline.llm import decontam, licenses, line_dedup, mixing, ngram_join, queries, quality_rules, sharding
 from fjordline.llm import text as tx
+from fjordline.llm.spark import small_batches
 from tests.llm import helpers as h
 
 
@@ -41,6 +42,20 @@ def test_words_and_lines_match_regular_expressions():
         assert lines == [(t or "").split("\n") for t in texts]
 
 
+@pytest.mark.parametrize("own", [None, "700", "20000"])
+def test_batches_are_held_to_their_bound(spark, own):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    for key in keys:
+        spark.conf.unset(key)
+    if own is not None:
+        spark.conf.set(keys[0], own)
+    small_batches(spark)
+    assert int(spark.conf.get(keys[0])) == min(int(own or 1_000), 1_000)
+    assert spark.conf.get(keys[1]).rstrip("b") == str(4 << 20)
+    spark.conf.unset(keys[0])
+    small_batches(spark)
+
+
 # 1
 
 
