@@ -4,9 +4,10 @@ Spark counts the n-grams of code points of all texts, by language.  A code point
 is a symbol (A-Z and a-z the same one, so any script keeps its letters; those
 beyond share the 2,048 numbers that UTF-16 leaves free), an n-gram a code of 16 bits a symbol, which
 is its own perfect hash.  From the counts a modified Kneser-Ney model of each language is made (Chen and
-Goodman, 1999), kept as sorted arrays of codes with their probabilities and back-off weights.  The models have
-the highest order, ORDER at most, with which all together have at most MODEL_GRAMS n-grams; so they
-may be sent to every task.  Each text gets its perplexity under the model of its language; in each
+Goodman, 1999), a table of codes with their log-probabilities, of order ORDER whatever the input's size.  Up to
+MODEL_GRAMS n-grams the table is sent to every task as sorted arrays; beyond, the texts are dealt to parts of
+PART_BYTES, and each part is joined with the n-grams it holds.  Both ways give the same sums.  Each text
+gets its perplexity under the model of its language; in each
 language, texts beyond an upper or lower bound are rejected.
 Middle and spread are those of the shorter half (the shortest interval that holds half
 of the language's texts), which a third of bad texts on one side can't open.
@@ -27,14 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjordline.llm import text as tx
 from fjordline.llm.spark import Table, attach, small_batches
 
 ORDER = 4
+#: A table of more n-grams is not sent to every task; texts are then dealt to parts of about PART_BYTES.
 MODEL_GRAMS = 2_000_000
+PART_BYTES = 16 << 20
 #: Width of the band in robust standard deviations of log-perplexity below and above the middle, and its least half-width.
 LOWER_WIDTH, UPPER_WIDTH, MIN_WIDTH = 3.0, 3.0, 0.15
 #: Half of the shorter half of a normal distribution, in standard deviations.
@@ -74,24 +77,28 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(code)).astype(np.int64)
 
 
-def _count(order: int, most: int = 500_000):
+def _count(order: int, text: str, keys: list[str], most: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
-        def tell(lang):
-            code, n = _merge(held.pop(lang))
+        def tell(key):
+            code, n = _merge(held.pop(key))
             for k in range(0, len(code), 100_000):
                 part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code[part]), pa.string()), pa.array(code[part].view(np.int64)), pa.array(n[part])], names=["lang", "code", "n"])
+                same = [pa.array([v] * len(code[part]), t) for v, t in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(code[part].view(np.int64)), pa.array(n[part])], names=[*keys, "code", "n"])
 
         for batch in batches:
-            lang = np.array(batch.column(1).to_pylist(), object)
-            for chunk in tx.chunks(batch.column(0)):
+            types = [batch.schema.field(k).type for k in keys]
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            for chunk in tx.chunks(batch.column(text)):
                 code, row = _codes(chunk, order)
-                own = lang[chunk.lo : chunk.hi]
-                for name in sorted(set(own.tolist())):
+                names = sorted(set(of[chunk.lo : chunk.hi]))
+                place = {name: k for k, name in enumerate(names)}
+                own = np.array([place[name] for name in of[chunk.lo : chunk.hi]])
+                for k, name in enumerate(names):
                     parts = held.setdefault(name, [])
-                    parts.append(np.unique(code[(own == name)[row]], return_counts=True))
+                    parts.append(np.unique(code[(own == k)[row]], return_counts=True))
                     if sum(len(c) for c, _ in parts) > most:
                         parts[:] = [_merge(parts)]
                         if len(parts[0][0]) > most // 2:
@@ -161,31 +168,86 @@ class KneserNey:
 
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> DataFrame:
     """(lang, code, n): how often each n-gram occurs in all texts of each language."""
-    return docs.select(text_col, lang_col).mapInArrow(_count(order), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    narrow = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return narrow.mapInArrow(_count(order, "text", ["lang"]), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def _by_language(table: pa.Table, value: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Each language of (lang, code, value) with its codes, sorted, and their values."""
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+    code, values = table.column("code").to_numpy().view(np.uint64), table.column(value).to_numpy()
+    for k in sorted(range(len(names)), key=names.__getitem__):
+        own = np.flatnonzero(which == k)
+        by = own[np.argsort(code[own])]
+        yield names[k], code[by], values[by]
+
 
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, grams: int | None = None) -> tuple[int, dict[str, KneserNey]]:
+    """The order of the models, and the model of each language, held by the driver; lang_col holds strings, no nulls.
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, grams: int = MODEL_GRAMS) -> tuple[int, dict[str, KneserNey]]:
-    """The order of the models, and the model of each language; lang_col holds strings, no nulls."""
+    The order is the one asked for, unless the caller bounds the number of n-grams; judge() doesn't go by this.
+    """
     small_batches(docs.sparkSession)
     table = Table(counts(docs, text_col, lang_col, order))
     held = table.df
-    while order > 1 and held.count() > grams:
+    while grams is not None and order > 1 and held.count() > grams:
         order -= 1
         held = held.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-    found = held.toArrow()  # `grams` rows at most, or one-symbol grams
+    found = held.toArrow()
     table.drop()
-    lang, code, n = (found.column(c) for c in ("lang", "code", "n"))
-    lang = np.array(lang.to_pylist(), object)
-    code, n = code.to_numpy().view(np.uint64), n.to_numpy()
-    models = {}
-    for name in sorted(set(lang.tolist())):
-        own = np.flatnonzero(lang == name)
-        by = own[np.argsort(code[own])]
-        models[name] = KneserNey(code[by], n[by], order)
-    return order, models
+    return order, {name: KneserNey(code, n, order) for name, code, n in _by_language(found, "n")}
+
+
+def log_probs(held: DataFrame, order: int = ORDER) -> Table:
+    """(lang, code, log_prob) of the n-grams of held, which is counts() as a written table: KneserNey's values, level by level as joins."""
+    suffix = lambda k: F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
+    tables, levels = [], [held]
+    for k in range(order - 1, 0, -1):  # how many different symbols precede each shorter gram
+        tables.append(Table(levels[0].groupBy("lang", suffix(k).alias("code")).agg(F.count("*").alias("n"))))
+        levels.insert(0, tables[-1].df)
+    every = levels[0].select(F.lit(0).alias("k"), "lang", "n")
+    for k, level in enumerate(levels[1:], 1):
+        every = every.unionAll(level.select(F.lit(k).alias("k"), "lang", "n"))
+    n1, n2, n3, n4 = (F.col(f"n{j}") for j in range(1, 5))
+    y = n1 / (n1 + 2 * n2)
+    found = every.groupBy("k", "lang").agg(*(F.greatest(F.count_if(F.col("n") == j), F.lit(1)).cast("double").alias(f"n{j}") for j in range(1, 5)))
+    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    tables.append(Table(found.select("k", "lang", *(F.least(F.greatest(v, F.lit(0.05)), F.lit(j - 0.05)).alias(f"d{j}") for j, v in enumerate(raw, 1)))))
+    discounts, below = tables[-1].df, None
+    together = Window.partitionBy("lang", "context")
+    n = F.col("n")
+    for k, level in enumerate(levels):
+        rows = attach(level.withColumn("context", F.shiftrightunsigned("code", BITS)), discounts.where(F.col("k") == k).drop("k"), "lang")
+        lost = sum((F.col(f"d{j}") * F.sum((n == j if j < 3 else n >= j).cast("long")).over(together) for j in (2, 3)), F.col("d1") * F.sum((n == 1).cast("long")).over(together))
+        cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = rows.select("lang", "code", ((n - cut) / F.sum("n").over(together)).alias("own"), (lost / F.sum("n").over(together)).alias("lost"))
+        if below is None:
+            below = rows.select("lang", "code", (F.col("own") + F.col("lost") / SYMBOLS).alias("prob"))
+        else:
+            shorter = below.select("lang", F.col("code").alias("suffix"), F.col("prob").alias("below"))
+            below = rows.withColumn("suffix", suffix(k)).join(shorter, ["lang", "suffix"]).select("lang", "code", (F.col("own") + F.col("lost") * F.col("below")).alias("prob"))
+    out = Table(below.select("lang", "code", F.log("prob").alias("log_prob")))
+    for table in tables:
+        table.drop()
+    return out
+
+
+class Known:
+    """A model's log-probabilities of n-grams that it has seen; codes are sorted."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
+        self.code, self.value = code, value
 
+    def log_prob(self, grams: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.code, grams), len(self.code) - 1)
+        if (self.code[at] != grams).any():
+            raise ValueError("an n-gram that was not counted")
+        return self.value[at]
 
-def measure(chunk: tx.Chunk, order: int, models: dict[str, KneserNey], lang: np.ndarray) -> list[np.ndarray]:
+
+def measure(chunk: tx.Chunk, order: int, models: dict[str, KneserNey] | dict[str, Known], lang: np.ndarray) -> list[np.ndarray]:
     """Per row, whose languages are lang: words, word_chars, n_symbols, n_dup_lines, n_repeat_words, sum of log-probabilities, their number."""
     rows = len(chunk.at) - 1
     per_row = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[chunk.at])
@@ -219,23 +281,56 @@ _KINDS = ["long"] * 5 + ["double", "long"]
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_prob", "n_grams"]
 
 
-def _score(shared):
+def _scored(rows: pa.RecordBatch | pa.Table, order: int, models: dict[str, Known]) -> Iterator[pa.RecordBatch]:
+    ids, langs = (c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in (rows.column("id"), rows.column("lang")))
+    for chunk in tx.chunks(rows.column("text")):
+        own = slice(chunk.lo, chunk.hi)
+        got = measure(chunk, order, models, np.array(langs[own].to_pylist(), object))
+        yield pa.RecordBatch.from_arrays([ids[own], langs[own], *(pa.array(v, pa.float64() if k == "double" else pa.int64()) for v, k in zip(got, _KINDS, strict=True))], names=["id", "lang", *_NAMES])
+
+
+def _score(shared, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tx.chunks(batch.column(2)):
-                got = measure(chunk, *shared.value, np.array(batch.column(1).slice(chunk.lo, chunk.hi - chunk.lo).to_pylist(), object))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(chunk.lo, chunk.hi - chunk.lo) for k in (0, 1)), *(pa.array(v, pa.float64() if k == "double" else pa.int64()) for v, k in zip(got, _KINDS, strict=True))], names=["id", "lang", *_NAMES])
+            yield from _scored(batch, order, shared.value)
 
     return run
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, order: int = ORDER) -> DataFrame:
+def _score_part(order: int):
+    def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        models = {name: Known(code, value) for name, code, value in _by_language(grams, "log_prob")} if grams.num_rows else {}
+        return pa.Table.from_batches(_scored(texts, order, models))
+
+    return run
+
+
+def _deal(narrow: DataFrame, probs: DataFrame, order: int, schema: str) -> DataFrame:
+    """narrow scored part by part: each part is joined with the n-grams it holds, so no task needs the whole model."""
+    parts = -(-(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // PART_BYTES)
+    dealt = narrow.withColumn("part", F.pmod(F.xxhash64("id", "lang", "text"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    # Both readers take all columns of dealt, so that texts are shuffled once.
+    grams = dealt.mapInArrow(_count(order, "text", ["part", "lang"]), "part int, lang string, code long, n long").drop("n")
+    found = grams.join(probs, ["lang", "code"]).select("part", "lang", "code", "log_prob")
+    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_score_part(order), schema)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER_WIDTH, upper: float = UPPER_WIDTH, order: int = ORDER, grams: int = MODEL_GRAMS) -> DataFrame:
     """Per row of docs: the id, counts of the base rules, base_failed, perplexity, the band of its language (low, high), in_band, kept."""
+    small_batches(docs.sparkSession)
     kinds = ", ".join(f"{n} {k}" for n, k in zip(_NAMES, _KINDS, strict=True))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, lang string, {kinds}"
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(narrow, order=order))
-    scored = Table(narrow.mapInArrow(_score(shared), f"id {id_type}, lang string, {kinds}"))
+    held = Table(counts(narrow, order=order))
+    probs = log_probs(held.df, order)
+    held.drop()
+    if probs.df.count() <= grams:
+        shared = docs.sparkSession.sparkContext.broadcast({name: Known(code, value) for name, code, value in _by_language(probs.df.toArrow(), "log_prob")})
+        scored = Table(narrow.mapInArrow(_score(shared, order), schema))
+        shared.destroy()
+    else:
+        scored = Table(_deal(narrow, probs.df, order, schema))
+    probs.drop()
     level = -F.col("log_prob") / F.col("n_grams")
     rows = scored.df.withColumn("level", F.when(F.col("n_grams") > 0, level))
     grid = rows.groupBy("lang").agg(F.percentile_approx("level", [k / 100 for k in range(101)], 1000).alias("q"))

@@ -389,6 +389,29 @@ def test_quality_rules_awkward(spark):
     assert quality_rules.judge(h.empty(spark)).count() == 0
 
 
+def test_quality_model_keeps_its_order_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0x4E00, 0x9000, (900, 2_400))  # more different 4-grams than are sent to every task
+    docs = h.awkward(spark, [(k, "".join(map(chr, p)), "zh", None) for k, p in enumerate(points.tolist())])
+    code = np.zeros((900, 2_397), np.uint64)
+    for k in range(4):
+        code = (code << np.uint64(16)) | points[:, k : k + 2_397].astype(np.uint64)
+    grams, n = np.unique(code, return_counts=True)
+    assert len(grams) > quality_rules.MODEL_GRAMS
+    model = quality_rules.KneserNey(grams, n)
+    got = {r.doc_id: r.perplexity for r in quality_rules.judge(docs).collect()}
+    assert len(got) == 900
+    for k in range(0, 900, 90):
+        assert abs(np.log(got[k]) + model.log_prob(code[k]).mean()) < 1e-9
+
+
+def test_quality_results_do_not_depend_on_how_the_model_is_sent(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(quality_rules, "PART_BYTES", 20_000)
+    for docs in (h.awkward(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        sent, dealt = (Counter(quality_rules.judge(docs, grams=grams).collect()) for grams in (quality_rules.MODEL_GRAMS, 0))
+        assert sent == dealt and sent.total() == docs.count()
+
+
 @pytest.mark.parametrize("letters", ["етаоинсрвлкм", "あいうえおかきくけこさし", "ابتثجحخدذرزس"])
 def test_quality_band_reads_other_scripts(spark, letters):
     rng = random.Random(4)
