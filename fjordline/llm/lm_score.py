@@ -48,7 +48,11 @@ _BLOCK = 2_048
 
 class Network:
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
-        self.parts = parts
+        """The softmaxes' weights and biases lie in one array each, the biases last, so that they are applied and moved together."""
+        self.outer = np.concatenate([parts["C"], parts["c"][None]])
+        self.inner = np.concatenate([parts["W"], parts["w"][:, None]], 1)
+        views = {"C": self.outer[:-1], "c": self.outer[-1], "W": self.inner[:, :-1], "w": self.inner[:, -1]}
+        self.parts = {k: views.get(k, v) for k, v in parts.items()}
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 5) -> Network:
@@ -72,25 +76,27 @@ class Network:
         return cls(parts)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
+        """The hidden layer and a column of ones; context: the numbers of each place, by row."""
         p = self.parts
-        total = np.broadcast_to(p["b"], (len(context), DIM)).copy()
-        for k in range(2 * REACH):
-            total += p["E"][context[:, k]] * p["P"][k]
-        return np.tanh(total)
+        out = np.ones((context.shape[1], DIM + 1), np.float32)
+        total = (p["E"] * p["P"][0] + p["b"]).take(context[0], axis=0)
+        for k in range(1, 2 * REACH):
+            total += (p["E"] * p["P"][k]).take(context[k], axis=0)
+        np.tanh(total, out=out[:, :DIM])
+        return out
 
     def log_prob(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """ln p of each word given its context, classes in turn."""
-        p = self.parts
         order, at = _by_class(word)
         inner = (word % SIDE)[order]
-        h = self.hidden(context[order])
+        h = self.hidden(_places(context, order))
         got = np.empty(len(word), np.float32)
-        logits = h @ p["C"] + p["c"]
+        logits = h @ self.outer
         own = logits[np.arange(len(word)), (word // SIDE)[order]]
         np.subtract(own, _lse(logits), out=got)
         for g in np.flatnonzero(np.diff(at)):
             part = slice(at[g], at[g + 1])
-            logits = h[part] @ p["W"][g] + p["w"][g]
+            logits = h[part] @ self.inner[g]
             own = logits[np.arange(len(logits)), inner[part]]
             got[part] += own - _lse(logits)
         out = np.empty_like(got)
@@ -103,43 +109,55 @@ class Network:
         if seen is None:
             seen = self.squares(floor)
 
-        def move(k, grad, at=slice(None)):
-            seen[k][at] += grad * grad
-            p[k][at] -= rate * grad / np.sqrt(seen[k][at])
+        def move(k, values, grad, at=slice(None)):
+            squares = seen[k][at] + grad * grad
+            seen[k][at] = squares
+            values[at] -= rate * grad / np.sqrt(squares)
 
         for lo in range(0, len(word), batch):
             # Within a batch words are taken class by class.
             order, at = _by_class(word[lo : lo + batch])
-            target, ctx = word[lo : lo + batch][order], context[lo : lo + batch][order]
+            target, ctx = word[lo : lo + batch][order], _places(context[lo : lo + batch], order)
             n = len(target)
             inner, every = target % SIDE, np.arange(n)
             h = self.hidden(ctx)
-            d = _softmax(h @ p["C"] + p["c"])
+            d = _softmax(h @ self.outer)
             d[every, target // SIDE] -= 1
             dh = d @ p["C"].T
-            move("C", h.T @ d / n)
-            move("c", d.mean(0))
+            move("outer", self.outer, h.T @ d / n)
             for g in np.flatnonzero(np.diff(at)):
                 own = slice(at[g], at[g + 1])
                 mine = h[own]
-                d = _softmax(mine @ p["W"][g] + p["w"][g])
+                d = _softmax(mine @ self.inner[g])
                 d[every[: len(mine)], inner[own]] -= 1
                 dh[own] += d @ p["W"][g].T
-                move("W", mine.T @ d / n, g)
-                move("w", d.sum(0) / n, g)
-            dz = dh * (1 - h * h)
-            move("b", dz.mean(0))
-            rows = ctx.T.ravel()
-            grads = np.concatenate([dz * p["P"][k] for k in range(2 * REACH)])
-            gate = np.stack([(dz * p["E"][ctx[:, k]]).mean(0) for k in range(2 * REACH)])
-            by = np.argsort(rows.astype(np.int16), kind="stable")
-            ranked = rows[by]
-            head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            move("E", np.add.reduceat(grads[by], head, axis=0) / n, ranked[head])
-            move("P", gate)
+                move("inner", self.inner, mine.T @ d / n, g)
+            dz = dh * (1 - h[:, :DIM] * h[:, :DIM])
+            move("b", p["b"], dz.mean(0))
+            # What each number of a place gets, summed before it is weighed.
+            grads, gate, touched = np.zeros_like(p["E"]), np.empty_like(p["P"]), np.zeros(VOCABULARY, bool)
+            for k in range(2 * REACH):
+                by = np.argsort(ctx[k].astype(np.int16), kind="stable")
+                ranked = ctx[k][by]
+                head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                rows = ranked[head]
+                sums = np.add.reduceat(dz.take(by, axis=0), head, axis=0)
+                sums /= n
+                gate[k] = (sums * p["E"][rows]).sum(0)
+                grads[rows] += sums * p["P"][k]
+                touched[rows] = True
+            rows = np.flatnonzero(touched)
+            move("E", p["E"], grads[rows], rows)
+            move("P", p["P"], gate)
 
     def squares(self, floor: float = FLOOR) -> dict[str, np.ndarray]:
-        return {k: np.full(v.shape, floor, np.float32) for k, v in self.parts.items()}
+        arrays = {"outer": self.outer, "inner": self.inner, **{k: self.parts[k] for k in "EPb"}}
+        return {k: np.full(v.shape, floor, np.float32) for k, v in arrays.items()}
+
+
+def _places(context: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The contexts in this order, a row per place."""
+    return context.take(order, axis=0).T.astype(np.intp, order="C")
 
 
 def _by_class(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +167,32 @@ def _by_class(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(group, minlength=SIDE))])
 
 
+#: exp of logits between -SAFE and SAFE, and sums of them, neither overflow nor vanish in single precision.
+SAFE = 80.0
+_ONES = np.ones(SIDE, np.float32)
+
+
+def _tops(x: np.ndarray) -> np.ndarray | None:
+    """Each row's maximum, which must be taken off before exp; None where all are safe."""
+    return None if x.max(initial=0) < SAFE and x.min(initial=0) > -SAFE else x.max(1)
+
+
 def _lse(x: np.ndarray) -> np.ndarray:
     """ln of the sum of exp(x) by row; x is overwritten."""
-    top = x.max(1)
-    x -= top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(1))
+    top = _tops(x)
+    if top is not None:
+        x -= top[:, None]
+    total = np.log(np.exp(x, out=x) @ _ONES)
+    return total if top is None else top + total
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """By row, in place."""
-    x -= x.max(1, keepdims=True)
+    top = _tops(x)
+    if top is not None:
+        x -= top[:, None]
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= (1 / (x @ _ONES))[:, None]
     return x
 
 

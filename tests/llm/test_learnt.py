@@ -222,6 +222,37 @@ def test_lm_training_beats_word_frequencies(spark):
     assert np.allclose(again.flat(), net.flat())
 
 
+@pytest.mark.parametrize("scale", [1, 300])  # logits that exp can take as they are, and beyond
+def test_lm_step_is_plain_adagrad(scale):
+    rng = np.random.default_rng(9)
+    n = 70
+    word, ctx = rng.integers(0, 200, n), rng.integers(0, 40, (n, 4))  # numbers repeat within a place and across places
+    start = lm_score.Network.start(rng.integers(0, 50, lm_score.VOCABULARY))
+    flat = lm_score.Network.unflat(start.flat() + rng.normal(0, 0.3, len(start.flat())) * scale).flat()
+    p = {k: v.astype(float).copy() for k, v in lm_score.Network.unflat(flat).parts.items()}
+    grads, want = {k: np.zeros_like(v) for k, v in p.items()}, []
+    for w, c in zip(word.tolist(), ctx.tolist(), strict=True):
+        hidden = np.tanh(p["b"] + sum(p["E"][c[k]] * p["P"][k] for k in range(4)))
+        a, b = hidden @ p["C"] + p["c"], hidden @ p["W"][w // 64] + p["w"][w // 64]
+        a, b = (x - x.max() - np.log(np.exp(x - x.max()).sum()) for x in (a, b))
+        want.append(a[w // 64] + b[w % 64])
+        da, db = np.exp(a) - np.eye(64)[w // 64], np.exp(b) - np.eye(64)[w % 64]
+        dz = (p["C"] @ da + p["W"][w // 64] @ db) * (1 - hidden**2)
+        for k, at, g in [("C", ..., np.outer(hidden, da)), ("c", ..., da), ("W", w // 64, np.outer(hidden, db)), ("w", w // 64, db), ("b", ..., dz)]:
+            grads[k][at] += g / n
+        for k in range(4):
+            grads["E"][c[k]] += dz * p["P"][k] / n
+            grads["P"][k] += dz * p["E"][c[k]] / n
+    net = lm_score.Network.unflat(flat)
+    assert np.allclose(net.log_prob(ctx, word), want, rtol=1e-4, atol=1e-3)
+    seen = net.squares()
+    net.train(ctx, word, seen=seen)
+    for k, g in grads.items():
+        step = lm_score.RATE * g / np.sqrt(lm_score.FLOOR + g * g)
+        clear = (np.abs(g) > 1e-4) | (g == 0)  # single precision
+        assert np.allclose((p[k] - net.parts[k])[clear], step[clear], atol=2e-3 if scale == 1 else 2e-2), k
+
+
 def test_lm_awkward(spark):
     got = lm_score.score(h.awkward(spark))
     assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, *_ in h.AWKWARD)
